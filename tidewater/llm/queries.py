@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.bpe import encode_decode, read_spec
 from tidewater.llm.common import table
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.url_filter import judge_urls
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    spec = read_spec(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    return encode_decode(table(spark, sf_dir, "documents"), spec, ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -21,6 +28,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe": op3_bpe,
     "op6_url_filter": op6_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
