@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Unicode's White_Space characters, and the split pattern of this vocabulary with that class for \s.
 WS = r"\t-\r \x85\xa0  -     　"
@@ -243,6 +244,7 @@ def groups(column: pa.Array) -> Iterator[list[str]]:
 
 #: What can be asked for, with its type: the ids, their number, the text decoded from them, and digests.
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+_SPARK = {"long": T.LongType(), "string": T.StringType(), "array<int>": T.ArrayType(T.IntegerType())}
 _ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
@@ -255,9 +257,7 @@ def encode_decode(docs: DataFrame, spec: str, outputs: Sequence[str] = ("n_token
     each document is coded whole by the worker that reads it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(spec)
-    schema = docs.select(id_col).schema
-    for name in outputs:
-        schema = schema.add(name, "bigint" if OUTPUTS[name] == "long" else OUTPUTS[name])
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(x, _SPARK[OUTPUTS[x]]) for x in outputs)])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(sent.value)
