@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import encode_decode, read_spec
 from tidewater.llm.common import table
+from tidewater.llm.exact_dedup import exact_groups
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.url_filter import judge_urls
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     spec = read_spec(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
     return encode_decode(table(spark, sf_dir, "documents"), spec, ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -28,6 +33,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op3_bpe": op3_bpe,
     "op6_url_filter": op6_url_filter,
     "op10_line_dedup": op10_line_dedup,
@@ -36,6 +42,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _KEY = r"translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_dedup": r"""
+with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as x from documents)
+select doc_id, min(doc_id) over (partition by x) as keep_id, count(*) over (partition by x) as group_size,
+  doc_id = min(doc_id) over (partition by x) as kept, sha256(x) as text_sha256 from t""",
     # no page of these tables has a canonical link or a meta refresh, so a page without a rule is allowed
     "op6_url_filter": r"""
 with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
