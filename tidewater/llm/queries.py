@@ -12,6 +12,7 @@ from tidewater.llm.bpe import encode_decode, read_spec
 from tidewater.llm.common import table
 from tidewater.llm.exact_dedup import exact_groups
 from tidewater.llm.line_dedup import dedup_lines
+from tidewater.llm.simhash import near_duplicates
 from tidewater.llm.url_filter import judge_urls
 
 
@@ -28,6 +29,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_bpe": op3_bpe,
     "op6_url_filter": op6_url_filter,
+    "op7_simhash": op7_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
 
