@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import encode_decode, read_spec
 from tidewater.llm.common import table
+from tidewater.llm.decontaminate import contaminated
 from tidewater.llm.exact_dedup import exact_groups
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.simhash import near_duplicates
@@ -33,6 +34,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
+    "op8_decontaminate": op8_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }
 
