@@ -13,6 +13,7 @@ from tidewater.llm.common import table
 from tidewater.llm.decontaminate import contaminated
 from tidewater.llm.exact_dedup import exact_groups
 from tidewater.llm.line_dedup import dedup_lines
+from tidewater.llm.quality import resample
 from tidewater.llm.simhash import near_duplicates
 from tidewater.llm.url_filter import judge_urls
 
@@ -26,6 +27,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return encode_decode(table(spark, sf_dir, "documents"), spec, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -45,6 +50,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_bpe": op3_bpe,
+    "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
