@@ -12,6 +12,7 @@ from tidewater.llm.bpe import encode_decode, read_spec
 from tidewater.llm.common import table
 from tidewater.llm.decontaminate import contaminated
 from tidewater.llm.exact_dedup import exact_groups
+from tidewater.llm.html_text import extract
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.quality import resample
 from tidewater.llm.simhash import near_duplicates
@@ -22,6 +23,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     spec = read_spec(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
     return encode_decode(table(spark, sf_dir, "documents"), spec, ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -49,6 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_html_text": op2_html_text,
     "op3_bpe": op3_bpe,
     "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
