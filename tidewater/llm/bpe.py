@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.llm.common import python_ready
+
 #: Unicode's White_Space characters, and the split pattern of this vocabulary with that class for \s.
 WS = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
@@ -256,7 +258,7 @@ def encode_decode(docs: DataFrame, spec: str, outputs: Sequence[str] = ("n_token
     repeated rows are coded alike; null ids of documents stay null; other columns are left out. One pass, no shuffle;
     each document is coded whole by the worker that reads it.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(spec)
+    sent = python_ready(docs).sparkContext.broadcast(spec)
     schema = T.StructType([docs.schema[id_col], *(T.StructField(x, _SPARK[OUTPUTS[x]]) for x in outputs)])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def python_ready(df: DataFrame) -> SparkSession:
+    """The session, whose Python workers can import this package from where the driver has it, if it is there too."""
+    context = df.sparkSession.sparkContext
+    root, known = str(Path(__file__).resolve().parents[2]), context.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+    return df.sparkSession
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop's file system for a path, and the path as it takes it."""
     jvm = spark.sparkContext._jvm

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import hot_join, save
+from tidewater.llm.common import hot_join, python_ready, save
 
 #: Keys in a bucket before it is split; depth at which the directory stops doubling, so that its size is bounded.
 CAPACITY, MAX_DEPTH = 4096, 16
@@ -172,6 +172,7 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     compares their bytes. The index of chains is written to the shared folder too. 4. Rows find their chain by key
     and digest; large groups are spread.
     """
+    python_ready(docs)
     id_type = docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     posting = T.StructType().add("_id", id_type).add("_row", T.LongType()).add("_key", T.LongType()).add("_sha", T.BinaryType())

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import save
+from tidewater.llm.common import python_ready, save
 
 #: Labelled documents that the target model and the threshold are fitted on, at most; the raw model is of all documents.
 MAX_LABELLED = 20_000
@@ -178,7 +178,7 @@ def resample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     rows fare alike; empty tables give empty results; other columns are left out. Two passes over the texts; the
     models have a fixed size, and only keys are written and ranked.
     """
-    spark = docs.sparkSession
+    python_ready(docs)
     sample, _ = save(labelled_sample(labels, label_col, max_labelled, id_col), "quality-sample")
     weighed, _ = save(log_weights(docs, ngram_models(docs, sample, id_col, text_col), id_col, text_col), "quality-weights")
     cut = threshold(weighed, sample, id_col)
