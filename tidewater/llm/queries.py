@@ -15,6 +15,7 @@ from tidewater.llm.exact_dedup import exact_groups
 from tidewater.llm.html_text import extract
 from tidewater.llm.line_dedup import dedup_lines
 from tidewater.llm.quality import resample
+from tidewater.llm.sharding import shard
 from tidewater.llm.simhash import near_duplicates
 from tidewater.llm.toxicity import toxicity
 from tidewater.llm.url_filter import judge_urls
@@ -33,6 +34,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return encode_decode(table(spark, sf_dir, "documents"), spec, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents")).select("doc_id", "shard_id", "shard_bytes", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_text": op2_html_text,
     "op3_bpe": op3_bpe,
+    "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
