@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewater.sources.workers import python_ready
+
 _STEP = re.compile(r"\.([^.\[\]]+)|\[(\d+)\]")
 
 
@@ -133,6 +135,7 @@ def _within(target, candidate) -> bool:
 def put(j: Column, path: str, value: Column) -> Column:
     """JSON_SET: the JSON with a value, itself JSON text, at a path; null for broken JSON or path."""
     way = steps(path)
+    python_ready()
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, values: pd.Series) -> pd.Series:
@@ -141,7 +144,7 @@ def put(j: Column, path: str, value: Column) -> Column:
             known, new = _load(new)
             return _dump(_put(own, way, new)) if fine and way is not None and known else None
 
-        return pd.Series([one(a, b) for a, b in zip(texts, values, strict=True)], dtype=object)
+        return pd.Series([one(a, b) for a, b in zip(texts, values, strict=True)], dtype="object")
 
     return run(j, value)
 
@@ -149,6 +152,7 @@ def put(j: Column, path: str, value: Column) -> Column:
 def remove(j: Column, *paths: str) -> Column:
     """JSON_REMOVE: the JSON without what stands at the paths; null for broken JSON or paths."""
     ways = [steps(p) for p in paths]
+    python_ready()
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -160,7 +164,7 @@ def remove(j: Column, *paths: str) -> Column:
                 own = _cut(own, w)
             return _dump(own)
 
-        return pd.Series([one(x) for x in texts], dtype=object)
+        return pd.Series([one(x) for x in texts], dtype="object")
 
     return run(j)
 
@@ -168,6 +172,7 @@ def remove(j: Column, *paths: str) -> Column:
 def contains(j: Column, candidate: Column, path: str = "$") -> Column:
     """JSON_CONTAINS: 1 if an array has an equal element, an object the same keys and values, or the values are equal."""
     way = steps(path)
+    python_ready()
 
     @F.pandas_udf("int")
     def run(texts: pd.Series, others: pd.Series) -> pd.Series:

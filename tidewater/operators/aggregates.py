@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.sources.workers import python_ready
+
 
 class Aggregate(Protocol):
     """Init, step and finalize over numbers; merge joins the states of two tasks."""
@@ -41,6 +43,7 @@ class SumOfSquares:
 def udaf(df: DataFrame, keys: Sequence[str], value: str, function: Aggregate, alias: str) -> DataFrame:
     """keys and the aggregate of the non-null values. Each task steps through its rows first and hands on one state a key and batch."""
     keys = list(keys)
+    python_ready(df.sparkSession)
 
     def partial(batches):
         for pdf in batches:
