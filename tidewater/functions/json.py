@@ -100,22 +100,22 @@ def _load(text):
 
 
 def _put(value, path: list, new):
-    """value with new at path: keys are added, one position past an array's end appends; other misses change nothing."""
+    """value with new at path. What is in the way becomes an object or array; arrays grow by nulls up to the position."""
     if not path:
         return new
     step, rest = path[0], path[1:]
-    if isinstance(step, str) and isinstance(value, dict):
-        if rest and step not in value:
-            return value
-        return value | {step: _put(value.get(step), rest, new)}
-    if isinstance(step, int) and isinstance(value, list):
-        if step < len(value):
-            return [*value[:step], _put(value[step], rest, new), *value[step + 1 :]]
-        return [*value, new] if not rest else value
-    return value
+    if isinstance(step, str):
+        own = value if isinstance(value, dict) else {}
+        return own | {step: _put(own.get(step), rest, new)}
+    own = list(value) if isinstance(value, list) else []
+    own += [None] * (step + 1 - len(own))
+    own[step] = _put(own[step], rest, new)
+    return own
 
 
 def _cut(value, path: list):
+    if not path:
+        return None
     step, rest = path[0], path[1:]
     if isinstance(step, str) and isinstance(value, dict) and step in value:
         return {k: _cut(v, rest) if k == step else v for k, v in value.items() if rest or k != step}
@@ -133,7 +133,7 @@ def _within(target, candidate) -> bool:
 
 
 def put(j: Column, path: str, value: Column) -> Column:
-    """JSON_SET: the JSON with a value, itself JSON text, at a path; null for broken JSON or path."""
+    """JSON_SET: the JSON with a value, itself JSON text, at a path; unchanged for a broken path, null for broken JSON."""
     way = steps(path)
     python_ready()
 
@@ -142,7 +142,7 @@ def put(j: Column, path: str, value: Column) -> Column:
         def one(text, new):
             fine, own = _load(text)
             known, new = _load(new)
-            return _dump(_put(own, way, new)) if fine and way is not None and known else None
+            return _dump(own if way is None else _put(own, way, new)) if fine and known else None
 
         return pd.Series([one(a, b) for a, b in zip(texts, values, strict=True)], dtype="object")
 
@@ -150,7 +150,7 @@ def put(j: Column, path: str, value: Column) -> Column:
 
 
 def remove(j: Column, *paths: str) -> Column:
-    """JSON_REMOVE: the JSON without what stands at the paths; null for broken JSON or paths."""
+    """JSON_REMOVE: the JSON without what stands at the paths; $ leaves null, broken paths change nothing. Null for broken JSON."""
     ways = [steps(p) for p in paths]
     python_ready()
 
@@ -158,10 +158,10 @@ def remove(j: Column, *paths: str) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         def one(text):
             fine, own = _load(text)
-            if not fine or any(not w for w in ways):
+            if not fine:
                 return None
             for w in ways:
-                own = _cut(own, w)
+                own = own if w is None else _cut(own, w)
             return _dump(own)
 
         return pd.Series([one(x) for x in texts], dtype="object")
@@ -170,7 +170,7 @@ def remove(j: Column, *paths: str) -> Column:
 
 
 def contains(j: Column, candidate: Column, path: str = "$") -> Column:
-    """JSON_CONTAINS: 1 if an array has an equal element, an object the same keys and values, or the values are equal."""
+    """JSON_CONTAINS: 1 if an array has an equal element, an object the same keys and values, or the values are equal; else 0."""
     way = steps(path)
     python_ready()
 
@@ -180,12 +180,12 @@ def contains(j: Column, candidate: Column, path: str = "$") -> Column:
             fine, own = _load(text)
             known, other = _load(other)
             if not fine or not known or way is None:
-                return None
+                return 0
             for step in way:
                 try:
                     own = own[step]
                 except (KeyError, IndexError, TypeError):
-                    return None
+                    own = None
             return int(_within(own, other))
 
         return pd.Series([one(a, b) for a, b in zip(texts, others, strict=True)], dtype="Int32")

@@ -43,11 +43,11 @@ _expected("json_valid", [1, 1, 1, 1, 1, 1, 0, 0, None, 1], "integer", J.valid)
 _expected("json_length", [4, 3, 1, 1, 1, 1, None, None, None, 2], "integer", J.length)
 _expected("json_length_path", [4, None, None, None, None, None, None, None, None, None], "integer", lambda j: J.length(j, "$.a.b"))
 _expected("json_keys", ['["a","i","n","s"]', None, None, None, None, None, None, None, None, '["a","b"]'], "varchar", J.keys)
-_expected("json_set", ['{"a":{"b":[1,"x",null,{"c":true}]},"i":3,"n":2.5,"s":"it \\"is\\"","z":9}', "[1,2,3]", '"text"', "12", "true", "null", None, None, None, '{"a":2,"b":1,"z":9}'], "varchar", lambda j: J.put(j, "$.z", F.lit("9")))
-_expected("json_set_deep", ['{"a":{"b":[1,"new",null,{"c":true}]},"i":3,"n":2.5,"s":"it \\"is\\""}', "[1,2,3]", '"text"', "12", "true", "null", None, None, None, '{"a":2,"b":1}'], "varchar", lambda j: J.put(j, "$.a.b[1]", F.lit('"new"')))
+_expected("json_set", ['{"a":{"b":[1,"x",null,{"c":true}]},"i":3,"n":2.5,"s":"it \\"is\\"","z":9}', '{"z":9}', '{"z":9}', '{"z":9}', '{"z":9}', '{"z":9}', None, None, None, '{"a":2,"b":1,"z":9}'], "varchar", lambda j: J.put(j, "$.z", F.lit("9")))
+_expected("json_set_deep", ['{"a":{"b":[1,"new",null,{"c":true}]},"i":3,"n":2.5,"s":"it \\"is\\""}', *['{"a":{"b":[null,"new"]}}'] * 5, None, None, None, '{"a":{"b":[null,"new"]},"b":1}'], "varchar", lambda j: J.put(j, "$.a.b[1]", F.lit('"new"')))
 _expected("json_remove", ['{"a":{"b":[1,null,{"c":true}]},"n":2.5,"s":"it \\"is\\""}', "[1,2,3]", '"text"', "12", "true", "null", None, None, None, '{"a":2,"b":1}'], "varchar", lambda j: J.remove(j, "$.i", "$.a.b[1]"))
-_expected("json_contains", [0, 1, 0, 0, 0, 0, None, None, None, 0], "integer", lambda j: J.contains(j, F.lit("2")))
-_expected("json_contains_object", [0, 0, 0, 0, 0, 0, None, None, None, 1], "integer", lambda j: J.contains(j, F.lit('{"b": 1}')))
+_expected("json_contains", [0, 1, 0, 0, 0, 0, 0, 0, 0, 0], "integer", lambda j: J.contains(j, F.lit("2")))
+_expected("json_contains_object", [0, 0, 0, 0, 0, 0, 0, 0, 0, 1], "integer", lambda j: J.contains(j, F.lit('{"b": 1}')))
 
 
 @query("select p_partkey, '[' || p_size || ',' || to_json(p_name)::varchar || ',null,true]' as v from part")
