@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -16,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import python_ready
+from tidewater.llm.common import python_ready, python_task
 
 #: Unicode's White_Space characters, and the split pattern of this vocabulary with that class for \s.
 WS = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 #: Words kept with their ids by each worker before it starts anew.
-CACHE = 400_000
+CACHE = 100_000
 #: Longer words are not kept; symbols merged at a time; characters of text coded at a time.
 LONG, BATCH, TEXTS = 64, 1 << 19, 1 << 21
 
@@ -263,24 +262,24 @@ def encode_decode(docs: DataFrame, spec: str, outputs: Sequence[str] = ("n_token
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(sent.value)
-        gc.disable()  # nothing here makes cycles, and it would walk all known words again and again
-        names, sha = coder.names.__getitem__, hashlib.sha256
-        for batch in batches:
-            cols: dict[str, list] = {x: [] for x in outputs}
-            for ids in chain.from_iterable(map(coder.encode, groups(batch.column(1)))):
-                decoded = coder.decode(ids) if "decoded" in cols or "decoded_sha256" in cols else ""
-                for name, col in cols.items():
-                    if name == "n_tokens":
-                        col.append(len(ids))
-                    elif name == "ids":
-                        col.append(np.array(ids, np.int32))
-                    elif name == "decoded":
-                        col.append(decoded)
-                    elif name == "ids_sha256":
-                        col.append(sha(",".join(map(names, ids)).encode()).hexdigest())
-                    else:
-                        col.append(sha(decoded.encode()).hexdigest())
-            arrays = [pa.array(v, _ARROW[OUTPUTS[k]]) for k, v in cols.items()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, *outputs])
+        with python_task(coder.words, coder.chunks, coder.after):
+            names, sha = coder.names.__getitem__, hashlib.sha256
+            for batch in batches:
+                cols: dict[str, list] = {x: [] for x in outputs}
+                for ids in chain.from_iterable(map(coder.encode, groups(batch.column(1)))):
+                    decoded = coder.decode(ids) if "decoded" in cols or "decoded_sha256" in cols else ""
+                    for name, col in cols.items():
+                        if name == "n_tokens":
+                            col.append(len(ids))
+                        elif name == "ids":
+                            col.append(np.array(ids, np.int32))
+                        elif name == "decoded":
+                            col.append(decoded)
+                        elif name == "ids_sha256":
+                            col.append(sha(",".join(map(names, ids)).encode()).hexdigest())
+                        else:
+                            col.append(sha(decoded.encode()).hexdigest())
+                arrays = [pa.array(v, _ARROW[OUTPUTS[k]]) for k, v in cols.items()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_col, *outputs])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(code, schema)

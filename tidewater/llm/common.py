@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
-from pathlib import Path
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.sources import workers
+
 #: A key with over 1/SLICES of the rows is spread over several tasks, so at most SLICES keys are hot.
 SLICES = 1024
 
@@ -29,12 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def python_ready(df: DataFrame) -> SparkSession:
-    """The session, whose Python workers can import this package from where the driver has it, if it is there too."""
-    context = df.sparkSession.sparkContext
-    root, known = str(Path(__file__).resolve().parents[2]), context.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
-    return df.sparkSession
+    """The session, whose Python workers can import this package."""
+    return workers.python_ready(df.sparkSession)
+
+
+@contextmanager
+def python_task(*caches: dict) -> Iterator[None]:
+    """Around a task's rows: no collection of cycles, of which row work makes none, and at its end no memory kept.
+
+    A worker goes on to tasks of other operators; what it knows would add up with what those need.
+    """
+    gc.disable()
+    try:
+        yield
+    finally:
+        for known in caches:
+            known.clear()
+        gc.enable()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def filesystem(spark: SparkSession, path: str):

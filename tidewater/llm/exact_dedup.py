@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import hot_join, python_ready, save
+from tidewater.llm.common import hot_join, python_ready, python_task, save
 
 #: Keys in a bucket before it is split; depth at which the directory stops doubling, so that its size is bounded.
 CAPACITY, MAX_DEPTH = 4096, 16
@@ -76,9 +76,10 @@ def leading(key: Column, bits: int) -> Column:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [normalised(x.as_py()) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(text_key, texts), pa.int64()), pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())], ["_id", "_row", "_key", "_sha"])
+    with python_task():
+        for batch in batches:
+            texts = [normalised(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(text_key, texts), pa.int64()), pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())], ["_id", "_row", "_key", "_sha"])
 
 
 def least(a, b):
@@ -87,31 +88,32 @@ def least(a, b):
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Within a task, copies become one row with the smallest id and their number."""
-    held: dict[bytes, list] = {}
-    size, kind = 0, None
-
-    def out() -> Iterator[pa.RecordBatch]:
-        rows = list(held.items())
-        for k in range(0, len(rows), ROWS):
-            some = rows[k : k + ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t, _ in some], pa.int64()), pa.array([t for t, _ in some], pa.binary()), pa.array([v[0] for _, v in some], kind), pa.array([v[1] for _, v in some], pa.int64())], ["_key", "_text", "_first", "_n"])
-
-    for batch in batches:
-        kind = batch.schema.field(0).type
-        for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = normalised(x.as_py())
-            if text in held:
-                own = held[text]
-                own[0], own[1] = least(own[0], i), own[1] + 1
-            else:
-                held[text] = [i, 1]
-                size += len(text)
-                if size > HELD:
-                    yield from out()
-                    held.clear()
-                    size = 0
-    if held:
-        yield from out()
+    with python_task():
+        held: dict[bytes, list] = {}
+        size, kind = 0, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = list(held.items())
+            for k in range(0, len(rows), ROWS):
+                some = rows[k : k + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t, _ in some], pa.int64()), pa.array([t for t, _ in some], pa.binary()), pa.array([v[0] for _, v in some], kind), pa.array([v[1] for _, v in some], pa.int64())], ["_key", "_text", "_first", "_n"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = normalised(x.as_py())
+                if text in held:
+                    own = held[text]
+                    own[0], own[1] = least(own[0], i), own[1] + 1
+                else:
+                    held[text] = [i, 1]
+                    size += len(text)
+                    if size > HELD:
+                        yield from out()
+                        held.clear()
+                        size = 0
+        if held:
+            yield from out()
 
 
 def _chained(rows: Iterable[tuple]) -> Iterator[tuple]:
@@ -140,18 +142,19 @@ def _owner(kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     names = ["bucket", "_key", "link", "_sha", "keep_id", "group_size"]
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-        held: list[tuple] = []
-        for row in _chained(rows()):
-            held.append(row)
-            if len(held) == 8 * ROWS:
+        with python_task():
+            def rows() -> Iterator[tuple]:
+                for batch in batches:
+                    yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+            held: list[tuple] = []
+            for row in _chained(rows()):
+                held.append(row)
+                if len(held) == 8 * ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+                    held = []
+            if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
     return own
 

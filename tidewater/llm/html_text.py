@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import html
 import re
 from collections.abc import Iterator
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import python_ready
+from tidewater.llm.common import python_ready, python_task
 
 #: Fixed values of HTML: elements without content, with raw text, within a line of text, and those whose start ends an open one.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -213,10 +212,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [id_col, url_col, "text", "n_chars"])
+        with python_task():
+            for batch in batches:
+                texts = [main_text(x.as_py()) for x in batch.column(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     python_ready(pages)
     schema = T.StructType([pages.schema[id_col], pages.schema[url_col], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

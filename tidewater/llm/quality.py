@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import python_ready, save
+from tidewater.llm.common import python_ready, python_task, save
 
 #: Labelled documents that the target model and the threshold are fitted on, at most; the raw model is of all documents.
 MAX_LABELLED = 20_000
@@ -25,7 +24,7 @@ TEMPERATURE = 0.05
 #: Added to each count, as a share of the family's mean count.
 SMOOTHING = 0.01
 #: Chunks kept by each worker before it starts anew.
-CACHE = 400_000
+CACHE = 100_000
 
 
 _MIXED = re.compile("(?:[aA]+9|9+[aA])[aA9]*").sub
@@ -58,6 +57,11 @@ class _Chunks(dict):
 _chunks = _Chunks()
 
 
+def known_chunks() -> _Chunks:
+    """The worker's own; a nested function that named it would be sent with a copy."""
+    return _chunks
+
+
 def features(text: str | None) -> np.ndarray:
     """The buckets of a text's n-grams: each chunk's word, its shape, and its shape with that of the one before.
 
@@ -83,16 +87,16 @@ def ngram_models(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
     """The log ratio of the target model (label 1 in the sample) to the raw model (all documents) for each bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                n = np.bincount(features(text.as_py()), minlength=BUCKETS)
-                raw += n
-                if label == 1:
-                    good += n
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(x[some] if k else some, pa.int64()) for k, x in enumerate((some, raw, good))], ["bucket", "raw", "good"])
+        with python_task(known_chunks()):
+            raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+            for batch in batches:
+                for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    n = np.bincount(features(text.as_py()), minlength=BUCKETS)
+                    raw += n
+                    if label == 1:
+                        good += n
+            some = np.flatnonzero(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(x[some] if k else some, pa.int64()) for k, x in enumerate((some, raw, good))], ["bucket", "raw", "good"])
 
     told = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(sample), id_col, "left").select("_text", "_label")
     sums = told.mapInArrow(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
@@ -116,10 +120,10 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text
     sent = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS numbers
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        for batch in batches:
-            found = [features(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([float(sent.value[x].sum()) for x in found], pa.float64()), pa.array([len(x) // 3 for x in found], pa.int64())], [id_col, "row", "log_weight", "n_chunks"])
+        with python_task(known_chunks()):
+            for batch in batches:
+                found = [features(x.as_py()) for x in batch.column(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([float(sent.value[x].sum()) for x in found], pa.float64()), pa.array([len(x) // 3 for x in found], pa.int64())], [id_col, "row", "log_weight", "n_chunks"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("row", T.LongType()), T.StructField("log_weight", T.DoubleType()), T.StructField("n_chunks", T.LongType())])
     return docs.select(F.col(id_col), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("_text")).mapInArrow(weigh, schema)

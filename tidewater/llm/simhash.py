@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import hot_join, python_ready, save
+from tidewater.llm.common import hot_join, python_ready, python_task, save
 from tidewater.llm.components import connected_components
 
 WORDS, SEED, BITS = 3, 42, 2
@@ -42,9 +42,10 @@ def fingerprints(docs: DataFrame, n_words: int = WORDS, seed: int = SEED, id_col
     """(id, row, fp): row is a hash of the text, which tells rows apart that share an id. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([fingerprint(x.as_py(), n_words, seed) for x in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["id", "row", "fp"])
+        with python_task():
+            for batch in batches:
+                found = pa.array([fingerprint(x.as_py(), n_words, seed) for x in batch.column(2)], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["id", "row", "fp"])
 
     python_ready(docs)
     schema = T.StructType().add("id", docs.schema[id_col].dataType).add("row", T.LongType()).add("fp", T.LongType())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import python_ready, save
+from tidewater.llm.common import python_ready, python_task, save
 
 #: Labelled examples of each class in the index, at most, and terms in its vocabulary.
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 2000, 4000, 4096
@@ -26,7 +25,7 @@ LEAST_TIE = 30.0
 NEIGHBOURS, BLOCK = 16, 64
 #: Votes of no label that are added, so that weak similarity says little.
 DOUBT = 0.1
-CACHE = 400_000
+CACHE = 100_000
 
 _CORE = re.compile(r"[^\W_]+").findall
 
@@ -59,14 +58,14 @@ def choose_terms(docs: DataFrame, sample: DataFrame, max_terms: int, id_col: str
     """The terms that are more frequent among toxic examples, by the likelihood ratio of documents with them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        seen: tuple[Counter, Counter] = Counter(), Counter()
-        for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                counts = Counter(t for chunk in (text.as_py() or "").split() for t in terms_of(chunk) if len(t) <= 64)
-                seen[label].update(t for t, _ in levels(counts))
-        some = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array((c[t] for t in some), pa.int64()) for c in seen)], ["term", "clean", "toxic"])
+        with python_task():
+            seen: tuple[Counter, Counter] = Counter(), Counter()
+            for batch in batches:
+                for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    counts = Counter(t for chunk in (text.as_py() or "").split() for t in terms_of(chunk) if len(t) <= 64)
+                    seen[label].update(t for t, _ in levels(counts))
+            some = list(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array((c[t] for t in some), pa.int64()) for c in seen)], ["term", "clean", "toxic"])
 
     told = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(sample), id_col).select("_text", "_label")
     totals = dict(told.groupBy("_label").count().collect())
@@ -89,28 +88,28 @@ def term_counts(docs: DataFrame, terms: Sequence[str], id_col: str, text_col: st
     sent = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})  # at most max_terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        vocabulary = sent.value
-        wanted = {t.partition("#")[0] for t in vocabulary}
-
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> tuple[str, ...]:
-                if len(self) >= CACHE:
-                    self.clear()
-                found = tuple(t for t in terms_of(chunk) if t in wanted)
-                if len(chunk) <= 64:
-                    self[chunk] = found
-                return found
-
-        chunks = Chunks()
-        for batch in batches:
-            which, counts = [], []
-            for text in batch.column(1):
-                seen = Counter(t for found in map(chunks.__getitem__, (text.as_py() or "").split()) if found for t in found)
-                known = sorted((vocabulary[t], c) for t, c in levels(seen) if t in vocabulary)
-                which.append([t for t, _ in known])
-                counts.append([c for _, c in known])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(which, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], [id_col, "terms", "counts"])
+        with python_task():
+            vocabulary = sent.value
+            wanted = {t.partition("#")[0] for t in vocabulary}
+
+            class Chunks(dict):
+                def __missing__(self, chunk: str) -> tuple[str, ...]:
+                    if len(self) >= CACHE:
+                        self.clear()
+                    found = tuple(t for t in terms_of(chunk) if t in wanted)
+                    if len(chunk) <= 64:
+                        self[chunk] = found
+                    return found
+
+            chunks = Chunks()
+            for batch in batches:
+                which, counts = [], []
+                for text in batch.column(1):
+                    seen = Counter(t for found in map(chunks.__getitem__, (text.as_py() or "").split()) if found for t in found)
+                    known = sorted((vocabulary[t], c) for t, c in levels(seen) if t in vocabulary)
+                    which.append([t for t, _ in known])
+                    counts.append([c for _, c in known])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(which, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], [id_col, "terms", "counts"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
@@ -223,18 +222,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
     evidence = T.ArrayType(T.StructType().add("example", id_type).add("cosine", T.DoubleType()).add("label", T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, idf, slope, shift, base = sent.value
-
-        @lru_cache(CACHE // 8)
-        def judged(terms: tuple[int, ...], counts: tuple[int, ...]) -> tuple[float, tuple]:
-            found = index.search(*unit(terms, counts, idf), neighbours)
-            score = 1 / (1 + np.exp(-np.clip(slope * (index.vote(found) - 0.5) + shift, -30, 30)))
-            return float(score), tuple({"example": index.ids[i], "cosine": round(s, 6), "label": int(index.labels[i])} for s, i in found)
-
-        for batch in batches:
-            rows = [judged(tuple(t), tuple(c)) if t else (base, ()) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            struct = pa.struct([("example", batch.schema.field(0).type), ("cosine", pa.float64()), ("label", pa.int32())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([list(r[1]) for r in rows], pa.list_(struct))], [id_col, "score", "evidence"])
+        with python_task():
+            index, idf, slope, shift, base = sent.value
+
+            @lru_cache(CACHE // 8)
+            def judged(terms: tuple[int, ...], counts: tuple[int, ...]) -> tuple[float, tuple]:
+                found = index.search(*unit(terms, counts, idf), neighbours)
+                score = 1 / (1 + np.exp(-np.clip(slope * (index.vote(found) - 0.5) + shift, -30, 30)))
+                return float(score), tuple({"example": index.ids[i], "cosine": round(s, 6), "label": int(index.labels[i])} for s, i in found)
+
+            for batch in batches:
+                rows = [judged(tuple(t), tuple(c)) if t else (base, ()) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                struct = pa.struct([("example", batch.schema.field(0).type), ("cosine", pa.float64()), ("label", pa.int32())])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([list(r[1]) for r in rows], pa.list_(struct))], [id_col, "score", "evidence"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
     scored = counted.mapInArrow(run, schema)
