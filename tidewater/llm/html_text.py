@@ -6,7 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import exp
+from math import exp, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +35,7 @@ ARTICLE = frozenset(("article", "main"))
 ARTICLE_WORDS = frozenset("article post entry content story articlebody postcontent entrycontent maincontent".split())
 
 #: Reach of the smoothing in text nodes; the least share of the page's best fused ratio that makes content; how much an article element weighs.
-REACH, SHARE, TRUST = 2, 0.25, 50.0
+REACH, SHARE, TRUST = 2, 0.25, 10_000.0
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -172,7 +172,7 @@ def content(nodes: list[Node]) -> list[Node]:
     """The nodes on content paths.
 
     Per path: text length over nodes, and punctuation over nodes. Both ratios, by node in page order, are smoothed by
-    a Gaussian within REACH nodes, multiplied, and the path's mean is held against SHARE of the page's best path.
+    a Gaussian within REACH nodes and fused with the path's own; its mean is held against SHARE of the page's best path.
     Where an article element holds text, only its paths stand for election, and those of one line, like headings, pass.
     """
     if any(n.trusted for n in nodes):
@@ -190,7 +190,8 @@ def content(nodes: list[Node]) -> list[Node]:
         near = range(max(0, i - REACH), min(len(nodes), i + REACH + 1))
         total = sum(weights[abs(i - j)] for j in near)
         length, points = (sum(r[j] * weights[abs(i - j)] for j in near) / total for r in raw)
-        fused.append(length * (0.5 + points))
+        own = raw[0][i] * (0.5 + raw[1][i])
+        fused.append(sqrt(length * (0.5 + points) * own))  # so a menu beside the article gains little from it
     by_path: dict[str, list[float]] = {}
     for n, x in zip(nodes, fused, strict=True):
         by_path.setdefault(n.path, []).append(x)
