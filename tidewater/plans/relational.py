@@ -9,13 +9,13 @@ from tidewater.plans.registry import query
 from tidewater.sources.tables import read, register
 
 
-@query("""select c_mktsegment, n_name, count(*) as n_orders, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue
+@query("""select c_mktsegment, n_name, count(*) as n_orders, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue
 from customer join orders on c_custkey = o_custkey join lineitem on o_orderkey = l_orderkey join nation on c_nationkey = n_nationkey
 where l_shipdate >= timestamp '1995-01-01' group by c_mktsegment, n_name order by revenue desc, c_mktsegment, n_name limit 20""")
 def flagship_revenue(spark, d):
     sales = read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).join(read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     sales = sales.filter("l_shipdate >= timestamp_ntz '1995-01-01'").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    out = sales.groupBy("c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    out = sales.groupBy("c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))
     return out.orderBy(F.desc("revenue"), "c_mktsegment", "n_name").limit(20)
 
 
