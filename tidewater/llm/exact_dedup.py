@@ -188,7 +188,7 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     loads = dict(keys.groupBy(leading(F.col("_key"), bits).cast("int").alias("_slot")).count().collect())
     directory = Directory.of_loads(loads, bits, capacity)
     combined = T.StructType().add("_key", T.LongType()).add("_text", T.BinaryType()).add("_first", id_type).add("_n", T.LongType())
-    owned = docs.mapInArrow(_combined, combined).select(directory.bucket(F.col("_key")).alias("bucket"), "*").repartition("bucket").sortWithinPartitions("bucket", "_key")
+    owned = docs.mapInArrow(_combined, combined).select(directory.bucket(F.col("_key")).alias("bucket"), "*").repartitionById(len(directory.owns), F.col("bucket")).sortWithinPartitions("_key")
     chain = T.StructType().add("bucket", T.IntegerType()).add("_key", T.LongType()).add("link", T.IntegerType()).add("_sha", T.BinaryType()).add("keep_id", id_type).add("group_size", T.LongType())
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
     chains, _ = save(owned.mapInArrow(_owner(arrow_id), chain), "exact-chains")
