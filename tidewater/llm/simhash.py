@@ -91,6 +91,20 @@ def close_pairs(points: DataFrame, most: int = BITS, few: int = FEW) -> DataFram
     return looks.join(home, near).select("u", "v")
 
 
+def fingerprint_classes(prints: DataFrame) -> DataFrame:
+    """(fp, _first, _n): each fp of prints once, with its smallest id and number of rows."""
+    return prints.groupBy("fp").agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+
+
+def component_rows(prints: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """prints (id, row, fp) with component_id, the smallest id that the links (u, v) between fps join to the row's fp."""
+    grouped = connected_components(links).join(classes, F.col("node") == classes["fp"])
+    firsts = grouped.groupBy("component").agg(F.min("_first").alias("_least"))
+    linked = grouped.join(firsts, "component").select(F.col("node").alias("fp"), "_least")
+    whole, _ = save(classes.join(linked, "fp", "left").select("fp", "_n", F.coalesce("_least", "_first").alias("component_id")), "simhash-groups")
+    return hot_join(prints, whole, ["fp"], "_n", prints.count(), F.xxhash64("id", "row"))
+
+
 def near_duplicates(docs: DataFrame, most: int = BITS, n_words: int = WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, component_id, row) for each row: documents that a chain of close fingerprints joins.
 
@@ -102,13 +116,9 @@ def near_duplicates(docs: DataFrame, most: int = BITS, n_words: int = WORDS, see
     have is spread when results go back to the rows.
     """
     prints, _ = save(fingerprints(docs, n_words, seed, id_col, text_col), "simhash-prints")
-    classes, _ = save(prints.groupBy("fp").agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("_n")), "simhash-classes")
+    classes, _ = save(fingerprint_classes(prints), "simhash-classes")
     links, _ = save(close_pairs(classes, most), "simhash-links")
-    grouped = connected_components(links).join(classes, F.col("node") == classes["fp"])
-    firsts = grouped.groupBy("component").agg(F.min("_first").alias("_least"))
-    linked = grouped.join(firsts, "component").select(F.col("node").alias("fp"), "_least")
-    whole, _ = save(classes.join(linked, "fp", "left").select("fp", "_n", F.coalesce("_least", "_first").alias("component_id")), "simhash-groups")
-    out = hot_join(prints, whole, ["fp"], "_n", prints.count(), F.xxhash64("id", "row"))
+    out = component_rows(prints, classes, links)
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "row")
 
 
