@@ -31,6 +31,16 @@ def test_deep_and_long():
     assert len(main_text("<p>" + "word, " * 100_000)) == 6 * 100_000 - 1
 
 
+BODY = "<h1>Title</h1><p>A long text here, with many words; it goes on, and on.</p><p>Another text, with commas, and points. Also long enough.</p>"
+TEXT = ["A long text here, with many words; it goes on, and on.", "Another text, with commas, and points. Also long enough."]
+
+
+@pytest.mark.parametrize("wrap", ["<div class='content-sidebar-wrap'><main>{}</main></div>", "<div class='site no-sidebar'><article>{}</article></div>", "<div id=page class=has-sidebar><div>{}</div><div class=sidebar>Side links</div></div>", "<form id=aspnetForm><div>{}</div></form>", "<form id=aspnetForm><main>{}</main><div class=share>Share</div></form>"])
+def test_wrappers_with_marks(wrap):
+    lines = main_text("<body><nav>Home</nav>" + wrap.format(BODY) + "<footer>End</footer></body>").split("\n")
+    assert [x for x in lines if x != "Title"] == TEXT
+
+
 def test_paths():
     assert [(n.path, n.text) for n in text_nodes("<div class='a b'><p>x <i>y</i></p></div>")] == [("/div.a/p", "x y")]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import exp, sqrt
@@ -24,8 +25,10 @@ ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPES = frozenset("html body table ul ol dl menu article section div main nav aside footer header form blockquote td th select".split())
 
 #: Elements, roles and class or id words whose text is never the article's, and those that hold the article.
-NEVER = frozenset("script style noscript template textarea title head nav footer aside form button select option input iframe object svg math dialog menu canvas audio video datalist fieldset label".split())
+NEVER = frozenset("script style noscript template textarea title head nav footer aside button select option input iframe object svg math dialog menu canvas audio video datalist label".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar tooltip".split())
+#: What speaks against an element's text, unless the element holds most of the page's or of its articles' text.
+DOUBTED = frozenset("form fieldset header".split())
 JUNK = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner nav navbar navigation menu menus submenu breadcrumb breadcrumbs footer sidebar aside rail widget widgets "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register paywall comment comments commentlist reply replies respond discussion disqus "
@@ -34,8 +37,12 @@ JUNK = frozenset(
 ARTICLE = frozenset(("article", "main"))
 ARTICLE_WORDS = frozenset("article post entry content story articlebody postcontent entrycontent maincontent".split())
 
-#: Reach of the smoothing in text nodes; the least share of the page's best fused ratio that makes content; how much an article element weighs.
+#: Reach of the smoothing in text nodes; the least share of the page's best fused ratio that makes content.
 REACH, SHARE, TRUST = 2, 0.25, 10_000.0
+#: The share of a page's text that clears a doubted element where article elements hold other text.
+MOST = 0.8
+#: How much a path within an article element weighs, and one within an element whose class or id only says so.
+WEIGHTS = {"element": 8.0, "word": 2.0, "": 1.0}
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -45,13 +52,15 @@ _PUNCT = re.compile(r"[.,;:!?…。、，；：！？]")
 
 @dataclass
 class Open:
-    """An open element: its step in the path, whether its text can be the article's, and whether an article holds it."""
+    """An open element: its path, whether its text is never the article's, what trusts it, and the doubted elements around it."""
 
     tag: str
     path: str
     junk: bool
-    trusted: bool
+    trust: str
     block: int
+    doubts: tuple[int, ...] = ()
+    linked: bool = False
 
 
 @dataclass
@@ -59,18 +68,19 @@ class Node:
     """A run of text without block boundary."""
 
     path: str
-    trusted: bool
+    trust: str
     block: int
+    doubts: tuple[int, ...] = ()
     parts: list[str] = field(default_factory=list)
+    links: int = 0
     text: str = ""
 
 
-def _junk(tag: str, attributes: str, trusted: bool) -> tuple[bool, bool, str]:
-    """Whether an element is never content, whether it holds an article, and its first class."""
-    if tag in NEVER or (tag == "header" and not trusted):
-        return True, False, ""
-    if not attributes:
-        return False, tag in ARTICLE, ""
+def _marks(tag: str, attributes: str, trust: str) -> tuple[bool, bool, str, str]:
+    """Whether an element is never content, whether that is doubted, what trusts it, and its first class."""
+    if tag in NEVER:
+        return True, False, "", ""
+    doubted = tag in DOUBTED and not (tag == "header" and trust)
     words: list[str] = []
     first = ""
     for name, *values in _MARK.findall(attributes):
@@ -79,10 +89,13 @@ def _junk(tag: str, attributes: str, trusted: bool) -> tuple[bool, bool, str]:
             for token in value.split():
                 first = first or token
                 words += [w for w in _WORD.findall(token.lower())] + [re.sub(r"[^a-z]", "", token.lower())]
+        elif name == "role" and value.lower() == "form":
+            doubted = True
         elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False, first
-    holds = tag in ARTICLE or not ARTICLE_WORDS.isdisjoint(words)
-    return (tag not in ("html", "body") and tag not in ARTICLE and not JUNK.isdisjoint(words)), holds, first
+            return True, False, "", first
+    junk = not JUNK.isdisjoint(words)
+    doubted = doubted or junk and tag not in ("html", "body") and tag not in ARTICLE
+    return False, doubted, "element" if tag in ARTICLE else "word" if not ARTICLE_WORDS.isdisjoint(words) and not junk else "", first
 
 
 def text_nodes(page: str) -> list[Node]:
@@ -90,9 +103,9 @@ def text_nodes(page: str) -> list[Node]:
 
     Open elements end as HTML lets them: p before a block, li before li, and so on; stray ends are passed over.
     """
-    stack = [Open("", "", False, False, 0)]
+    stack = [Open("", "", False, "", 0)]
     nodes: list[Node] = []
-    block, at, size = 0, 0, len(page)
+    block, at, size, doubts = 0, 0, len(page), 0
 
     def text(raw: str) -> None:
         top = stack[-1]
@@ -101,8 +114,9 @@ def text_nodes(page: str) -> list[Node]:
         if not nodes or nodes[-1].block != block:
             if not raw.strip():
                 return
-            nodes.append(Node(top.path, top.trusted, block))
+            nodes.append(Node(top.path, top.trust, block, top.doubts))
         nodes[-1].parts.append(raw)
+        nodes[-1].links += len(raw.strip()) if top.linked else 0
 
     def close(to: int) -> None:
         nonlocal block
@@ -157,15 +171,29 @@ def text_nodes(page: str) -> list[Node]:
         if tag in VOID:
             continue
         top = stack[-1]
-        junk, holds, first = (True, False, "") if top.junk else _junk(tag, attributes, top.trusted)
+        junk, doubted, trust, first = (True, False, "", "") if top.junk else _marks(tag, attributes, top.trust)
+        doubts += doubted
         inline = tag in INLINE
         block += not inline
         if len(stack) < 512:  # deeper ones count as their parent's text
             path = top.path if inline else f"{top.path}/{tag}" + (f".{first}" if first else "")
-            stack.append(Open(tag, path, junk, top.trusted or holds, block))
+            trust = max(top.trust, trust, key=WEIGHTS.__getitem__)
+            stack.append(Open(tag, path, junk, trust, block, (*top.doubts, doubts) if doubted else top.doubts, top.linked or tag == "a"))
     for n in nodes:
         n.text = " ".join(html.unescape("".join(n.parts)).split())
-    return [n for n in nodes if n.text]
+    return _undoubted([n for n in nodes if n.text])
+
+
+def _undoubted(nodes: list[Node]) -> list[Node]:
+    """The nodes outside doubted elements; one is cleared by half of the articles' text, by most of the page's, or over half where no article is."""
+    texts, articles = Counter(), Counter()
+    for n in nodes:
+        for d in (0, *n.doubts):
+            texts[d] += len(n.text)
+            articles[d] += len(n.text) if n.trust == "element" else 0
+    share = MOST if articles[0] else 0.5
+    cleared = {d for d in texts if texts[d] > share * texts[0] or articles[0] and 2 * articles[d] >= articles[0]}
+    return [n for n in nodes if cleared.issuperset(n.doubts)]
 
 
 def content(nodes: list[Node]) -> list[Node]:
@@ -175,8 +203,8 @@ def content(nodes: list[Node]) -> list[Node]:
     a Gaussian within REACH nodes and fused with the path's own; its mean is held against SHARE of the page's best path.
     Where an article element holds text, only its paths stand for election, and those of one line, like headings, pass.
     """
-    if any(n.trusted for n in nodes):
-        nodes = [n for n in nodes if n.trusted]
+    if any(n.trust for n in nodes):
+        nodes = [n for n in nodes if n.trust]
     sums: dict[str, list[float]] = {}
     for n in nodes:
         own = sums.setdefault(n.path, [0, 0, 0])
@@ -197,7 +225,7 @@ def content(nodes: list[Node]) -> list[Node]:
         by_path.setdefault(n.path, []).append(x)
     means = {p: sum(x) / len(x) for p, x in by_path.items()}
     least = SHARE * max(means.values(), default=0)
-    return [n for n in nodes if means[n.path] * (TRUST if n.trusted else 1) >= least]
+    return [n for n in nodes if means[n.path] * (TRUST if n.trust else 1) >= least]
 
 
 def main_text(page: str | None) -> str:
