@@ -41,6 +41,23 @@ def test_wrappers_with_marks(wrap):
     assert [x for x in lines if x != "Title"] == TEXT
 
 
+@pytest.mark.parametrize("teaser", ["story", "post"])
+def test_teaser_does_not_hide_the_text(teaser):
+    lines = main_text(f"<div class=x>{BODY}</div><div class={teaser}><p>Read more, here.</p></div>").split("\n")
+    assert set(TEXT) <= set(lines)
+
+
+def test_links_within_main_are_left_out():
+    links = "<ul>" + "".join(f"<li><a href=/{k}>See the other page {k}</a></li>" for k in range(9)) + "</ul>"
+    assert main_text(f"<main>{BODY}{links}</main>").split("\n")[-2:] == TEXT
+
+
+def test_short_lines_beside_long_paragraphs():
+    page = f"<article><h1>Title</h1><p>{'Long text, with commas; it goes on. ' * 40}</p><ul><li>One thing.<li>Two things.</ul></article>"
+    assert main_text("<div class=ad>Buy now, buy well.</div>" + page).split("\n")[::2] == ["Title", "One thing."]
+    assert main_text("<div class=ad>Buy now, buy well, and more.</div><article><h1>Short</h1><p>Short text.</article>") == "Short\nShort text."
+
+
 def test_paths():
     assert [(n.path, n.text) for n in text_nodes("<div class='a b'><p>x <i>y</i></p></div>")] == [("/div.a/p", "x y")]
 

@@ -38,7 +38,9 @@ ARTICLE = frozenset(("article", "main"))
 ARTICLE_WORDS = frozenset("article post entry content story articlebody postcontent entrycontent maincontent".split())
 
 #: Reach of the smoothing in text nodes; the least share of the page's best fused ratio that makes content.
-REACH, SHARE, TRUST = 2, 0.25, 10_000.0
+REACH, SHARE = 2, 0.25
+#: Characters and punctuation marks of a text node that count at most, so that long paragraphs leave an article's short lines their share.
+LONG, POINTS = 200, 4
 #: The share of a page's text that clears a doubted element where article elements hold other text.
 MOST = 0.8
 #: How much a path within an article element weighs, and one within an element whose class or id only says so.
@@ -201,15 +203,14 @@ def content(nodes: list[Node]) -> list[Node]:
 
     Per path: text length over nodes, and punctuation over nodes. Both ratios, by node in page order, are smoothed by
     a Gaussian within REACH nodes and fused with the path's own; its mean is held against SHARE of the page's best path.
-    Where an article element holds text, only its paths stand for election, and those of one line, like headings, pass.
+    A link's text counts little. All paths stand for election: the mean of one that an article element or a class
+    trusts counts WEIGHTS times, both against the best mean and as what the paths with less trust are held against.
     """
-    if any(n.trust for n in nodes):
-        nodes = [n for n in nodes if n.trust]
     sums: dict[str, list[float]] = {}
     for n in nodes:
         own = sums.setdefault(n.path, [0, 0, 0])
-        own[0] += len(n.text)
-        own[1] += len(_PUNCT.findall(n.text))
+        own[0] += min(max(len(n.text) - n.links, len(n.text) / 50), LONG)
+        own[1] += min(len(_PUNCT.findall(n.text)), POINTS)
         own[2] += 1
     raw = [[sums[n.path][k] / sums[n.path][2] for n in nodes] for k in (0, 1)]
     weights = [exp(-(d * d) / (2 * (REACH / 2) ** 2)) for d in range(REACH + 1)]
@@ -224,8 +225,9 @@ def content(nodes: list[Node]) -> list[Node]:
     for n, x in zip(nodes, fused, strict=True):
         by_path.setdefault(n.path, []).append(x)
     means = {p: sum(x) / len(x) for p, x in by_path.items()}
-    least = SHARE * max(means.values(), default=0)
-    return [n for n in nodes if means[n.path] * (TRUST if n.trust else 1) >= least]
+    weight = {n.path: WEIGHTS[n.trust] for n in nodes}
+    least = {w: SHARE * max((m * max(1.0, weight[p] / w) for p, m in means.items()), default=0) / w for w in WEIGHTS.values()}
+    return [n for n in nodes if means[n.path] >= least[weight[n.path]]]
 
 
 def main_text(page: str | None) -> str:
