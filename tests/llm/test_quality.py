@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm.quality import drop_unselected, features, kth_largest, resample, shape
+from tidewater.llm.quality import drop_unselected, features, kth_largest, resample, shape, threshold
 
 
 @pytest.mark.parametrize(("chunk", "kind"), [("Hello,", "Aa,"), ("the###", "a#"), ("A1b2", "x"), ("2024", "9"), ("!!", "!"), ("", "")])
@@ -27,6 +27,13 @@ def test_held_out_labels(spark):
     assert right.n > 500 and right.v > 0.98
 
 
+def test_threshold_sees_all_rows_of_a_hot_id(spark):
+    sample = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, _label int")
+    hot = spark.range(0, 45_000, 1, 1).select(F.lit(1).cast("long").alias("doc_id"), F.lit(4.0).alias("log_weight"))
+    few = spark.createDataFrame([(2, 1.0), (3, 2.0)], "doc_id long, log_weight double")
+    assert threshold(hot.union(few), sample, "doc_id") == 3.0
+
+
 def test_kth_largest(spark):
     values = [float(v) for v in [5, 1, 1, 1, 9, -3, 7, 7, 2]] + [1e-9 * k for k in range(50)]
     df = spark.createDataFrame([(v,) for v in values], "v double")

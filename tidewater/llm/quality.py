@@ -131,12 +131,13 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text
 
 def threshold(weighed: DataFrame, sample: DataFrame, id_col: str) -> float:
     """The log weight that parts the labels in the sample best: the mean of both classes' rates, the lower of equals."""
-    rows = np.array(weighed.join(F.broadcast(sample), id_col).select("log_weight", "_label").limit(2 * MAX_LABELLED).collect(), float).reshape(-1, 2)
-    good, bad = (np.sort(rows[rows[:, 1] == k, 0]) for k in (1, 0))
-    if not len(good) or not len(bad):
+    told = weighed.join(F.broadcast(sample), id_col).groupBy("log_weight", "_label").count()
+    rows = np.array(told.collect(), float).reshape(-1, 3)  # a histogram, so repeated rows count without being collected
+    at, where = np.unique(rows[:, 0], return_inverse=True)
+    good, bad = (np.bincount(where, rows[:, 2] * (rows[:, 1] == k), len(at)) for k in (1, 0))
+    if not good.sum() or not bad.sum():
         return -np.inf
-    at = np.unique(rows[:, 0])
-    rate = (len(good) - np.searchsorted(good, at)) / len(good) + np.searchsorted(bad, at) / len(bad)
+    rate = (good.sum() - (np.cumsum(good) - good)) / good.sum() + (np.cumsum(bad) - bad) / bad.sum()
     best = int(np.argmax(rate))
     # between the best value and the nearest one below it
     return float(at[best] if best == 0 else (at[best] + at[best - 1]) / 2)
