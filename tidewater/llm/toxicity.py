@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,34 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import python_ready, python_task, save
+from tidewater.llm.common import fit_logistic, python_ready, python_task, saved, slices
 
 #: Labelled examples of each class in the index, at most, and terms in its vocabulary.
-MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 2000, 4000, 4096
-#: Lengths of the words' beginnings that are terms beside the words, and how often a term is one of its own again.
-STEMS, LEVELS = (4, 5, 6, 7, 8), (1, 2, 4)
-#: Least log-likelihood ratio of a term's tie to the label: at a million terms chance reaches it about once.
-LEAST_TIE = 30.0
-#: Neighbours that vote, and examples in a block.
-NEIGHBOURS, BLOCK = 16, 64
+MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 2000, 4000, 1 << 17
+#: Examples that a term must be in to have a weight: what one text alone holds can be near to nothing.
+LEAST_EXAMPLES = 2
+#: Neighbours that vote, examples in a block, and blocks that a search opens at first.
+NEIGHBOURS, BLOCK, WAVE = 16, 64, 8
 #: Votes of no label that are added, so that weak similarity says little.
 DOUBT = 0.1
-CACHE = 100_000
 
-_CORE = re.compile(r"[^\W_]+").findall
-
-
-def terms_of(chunk: str) -> tuple[str, ...]:
-    """The words of a chunk in lower case, and their beginnings with a ~ after them."""
-    return tuple(t for w in _CORE(chunk.lower()) for t in (w, *(w[:k] + "~" for k in STEMS if len(w) >= k)))
-
-
-def levels(counts: Counter) -> Iterator[tuple[str, int]]:
-    """The terms with their counts; those seen often enough are terms of their own too, with the level behind a #."""
-    for t, n in counts.items():
-        for level in LEVELS:
-            if n >= level:
-                yield (t if level == 1 else f"{t}#{level}"), n
+_WORDS = re.compile(r"[^\W_]+").findall
 
 
 def held_out(doc_id: Column) -> Column:
@@ -54,109 +37,125 @@ def examples(labels: DataFrame, label_col: str, most: Sequence[int], id_col: str
     return parts[0].union(parts[1])
 
 
-def choose_terms(docs: DataFrame, sample: DataFrame, max_terms: int, id_col: str, text_col: str) -> list[str]:
-    """The terms that are more frequent among toxic examples, by the likelihood ratio of documents with them."""
+def words_of(texts: DataFrame) -> DataFrame:
+    """(_label, term): the different words of each row's whole text, in lower case."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with python_task():
-            seen: tuple[Counter, Counter] = Counter(), Counter()
-            for batch in batches:
-                for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                    counts = Counter(t for chunk in (text.as_py() or "").split() for t in terms_of(chunk) if len(t) <= 64)
-                    seen[label].update(t for t, _ in levels(counts))
-            some = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array((c[t] for t in some), pa.int64()) for c in seen)], ["term", "clean", "toxic"])
-
-    told = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(sample), id_col).select("_text", "_label")
-    totals = dict(told.groupBy("_label").count().collect())
-    n0, n1 = F.lit(float(totals.get(0, 0))), F.lit(float(totals.get(1, 0)))
-    if not totals.get(0) or not totals.get(1):
-        return []
-    sums = told.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    share = (F.col("clean") + F.col("toxic")) / (n0 + n1)
-
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when((seen > 0) & (expected > 0), seen * F.log(seen / expected)).otherwise(F.lit(0.0))
-
-    tie = 2 * (part(F.col("toxic"), n1 * share) + part(F.col("clean"), n0 * share) + part(n1 - F.col("toxic"), n1 * (1 - share)) + part(n0 - F.col("clean"), n0 * (1 - share)))
-    good = sums.filter(F.col("toxic") / n1 > 4 * F.col("clean") / n0).withColumn("_tie", tie).filter(F.col("_tie") >= LEAST_TIE)
-    return sorted(r[0] for r in good.orderBy(F.desc("_tie"), "term").limit(max_terms).collect())
-
-
-def term_counts(docs: DataFrame, terms: Sequence[str], id_col: str, text_col: str) -> DataFrame:
-    """(id_col, terms, counts): the vocabulary's terms in each whole text."""
+            for batch in slices(batches):
+                found = [list(set(_WORDS((x.as_py() or "").lower()))) for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["_label", "terms"])
+
+    out = texts.select("_label", "_text").mapInArrow(run, "_label int, terms array<string>")
+    return out.select("_label", F.explode("terms").alias("term"))
+
+
+def term_counts(docs: DataFrame, keep: Sequence[str], terms: Sequence[str]) -> DataFrame:
+    """(*keep, terms, counts): the vocabulary's terms in each whole text of column _text."""
     sent = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})  # at most max_terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with python_task():
-            vocabulary = sent.value
-            wanted = {t.partition("#")[0] for t in vocabulary}
-
-            class Chunks(dict):
-                def __missing__(self, chunk: str) -> tuple[str, ...]:
-                    if len(self) >= CACHE:
-                        self.clear()
-                    found = tuple(t for t in terms_of(chunk) if t in wanted)
-                    if len(chunk) <= 64:
-                        self[chunk] = found
-                    return found
-
-            chunks = Chunks()
+            known = sent.value.get
+            for batch in slices(batches):
+                which, counts, ends = [], [], [0]
+                for text in batch.column(len(keep)):
+                    seen = Counter(map(known, _WORDS((text.as_py() or "").lower())))
+                    seen.pop(None, None)
+                    own = sorted(seen)
+                    which += own
+                    counts += map(seen.__getitem__, own)
+                    ends.append(len(which))
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (which, counts)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *lists], [*keep, "terms", "counts"])
+
+    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("terms", "counts"))])
+    return docs.select(*keep, "_text").mapInArrow(run, schema)
+
+
+def document_frequencies(counted: DataFrame, size: int) -> np.ndarray:
+    """In how many rows each term is. A task sends a row for each term that it has seen, at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with python_task():
+            sums = np.zeros(size, np.int64)
             for batch in batches:
-                which, counts = [], []
-                for text in batch.column(1):
-                    seen = Counter(t for found in map(chunks.__getitem__, (text.as_py() or "").split()) if found for t in found)
-                    known = sorted((vocabulary[t], c) for t, c in levels(seen) if t in vocabulary)
-                    which.append([t for t, _ in known])
-                    counts.append([c for _, c in known])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(which, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], [id_col, "terms", "counts"])
+                sums += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=size)
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some], pa.int64())], ["term", "n"])
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    out = np.zeros(size, np.int64)
+    for term, n in counted.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():  # at most max_terms rows
+        out[term] = n
+    return out
+
+
+def term_weights(frequency: np.ndarray, rows: int, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Of each term: inverse document frequency times the square of its relevance frequency.
+
+    Relevance frequency is log2(2 + toxic / max(1, clean)), of the examples that hold the term: at least 1, so every
+    term counts, and more for those that toxic examples have more often.
+    """
+    return np.log(1 + rows / np.maximum(frequency, 1)) * np.log2(2 + toxic / np.maximum(clean, 1)) ** 2
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 class BlockMaxIndex:
-    """Postings by term and block of examples, with each block's largest weight."""
+    """Postings by term and block of examples, with the largest weight of each term in each block."""
 
-    def __init__(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], ids: Sequence, weights: np.ndarray):
-        """vectors: terms and unit-length weights of each example; weights: how many documents each stands for."""
+    def __init__(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]], labels: Sequence[int], ids: Sequence, weights: Sequence[float], size: int):
+        """vectors: terms below size and unit-length weights of each example; weights: how many documents each stands for."""
         # examples with the same main term lie together, so that the other blocks' bounds are low
         order = sorted(range(len(vectors)), key=lambda k: (int(vectors[k][0][np.argmax(vectors[k][1])]) if len(vectors[k][0]) else -1, k))
         self.labels, self.ids, self.weights = np.array([labels[k] for k in order], float), [ids[k] for k in order], np.array([weights[k] for k in order], float)
         self.blocks = -(-len(order) // BLOCK)
-        by_term: dict[int, dict[int, tuple[list, list]]] = {}
-        for at, k in enumerate(order):
-            for t, w in zip(vectors[k][0].tolist(), vectors[k][1].tolist(), strict=True):
-                own = by_term.setdefault(t, {}).setdefault(at // BLOCK, ([], []))
-                own[0].append(at % BLOCK)
-                own[1].append(w)
-        self.postings = {t: {b: (np.array(p), np.array(w)) for b, (p, w) in own.items()} for t, own in by_term.items()}
-        self.bounds = {t: (np.array(list(own)), np.array([w.max() for _, w in own.values()])) for t, own in self.postings.items()}
-
-    def search(self, terms: Sequence[int], weights: Sequence[float], k: int, skip: int = -1) -> list[tuple[float, int]]:
+        term = np.concatenate([vectors[k][0] for k in order] or [np.zeros(0, np.int64)])
+        at = np.repeat(np.arange(len(order)), [len(vectors[k][0]) for k in order])
+        by_term = np.argsort(term, kind="stable")  # and by example within a term
+        term, self.at = term[by_term], at[by_term].astype(np.int32)
+        self.of = np.concatenate([vectors[k][1] for k in order] or [np.zeros(0)])[by_term]
+        block = self.at // BLOCK
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.start, self.length, self.block = first, np.diff(np.append(first, len(term))), block[first]
+        self.most = np.maximum.reduceat(self.of, first) if len(first) else np.zeros(0)
+        self.entries = np.searchsorted(term[first], np.arange(size + 1))  # a term's entries, a block each
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a term in common, nearest first; of equally near ones the first.
 
-        Blocks are opened in the order of their bounds, until no bound reaches the k-th cosine found: so it is exact.
+        The WAVE blocks of the highest bounds are opened first, then all whose bound reaches the k-th cosine found, until
+        there is none: so it is exact.
         """
-        bound = np.zeros(self.blocks)
-        known = [(t, w) for t, w in zip(terms, weights, strict=True) if t in self.postings]
-        for t, w in known:
-            blocks, most = self.bounds[t]
-            bound[blocks] += w * most
-        found: list[tuple[float, int]] = []
-        least = 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(found) == k and bound[b] < least - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in known:
-                if (own := self.postings[t].get(b)) is not None:
-                    sums[own[0]] += w * own[1]
-            found += [(float(sums[p]), b * BLOCK + p) for p in np.flatnonzero(sums >= max(least - 1e-12, 1e-12)).tolist() if b * BLOCK + p != skip]
-            found = sorted(found, key=lambda x: (-round(x[0], 12), x[1]))[:k]
+        lengths = self.entries[terms + 1] - self.entries[terms]
+        entry, by = _ranges(self.entries[terms], lengths), np.repeat(weights, lengths)
+        block = self.block[entry]
+        bound = np.bincount(block, by * self.most[entry], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        found, values, least, done, wave = np.zeros(0, np.int64), np.zeros(0), 1e-12, 0, WAVE
+        while wave:
+            opened = np.zeros(self.blocks, bool)
+            opened[order[done : done + wave]] = True
+            some = opened[block]
+            own, by_own = entry[some], by[some]
+            n = self.length[own]
+            posting = _ranges(self.start[own], n)
+            sums = np.bincount(self.at[posting], np.repeat(by_own, n) * self.of[posting], len(self.ids))
+            if skip >= 0:
+                sums[skip] = 0
+            near = np.flatnonzero(sums >= max(least - 1e-12, 1e-12))
+            found, values = np.concatenate([found, near]), np.concatenate([values, sums[near]])
+            best = np.lexsort((found, -np.round(values, 12)))[:k]
+            found, values = found[best], values[best]
             if len(found) == k:
-                least = found[-1][0]
-        return found
+                least = values[-1]
+            done += wave
+            wave = int((bound[order[done:]] >= max(least - 1e-12, 1e-12)).sum())
+        return list(zip(values.tolist(), found.tolist(), strict=True))
 
     def vote(self, found: Sequence[tuple[float, int]]) -> float:
         """The share of toxic votes, each weighed by its cosine and by how many documents the example stands for."""
@@ -164,78 +163,97 @@ class BlockMaxIndex:
         return float((near * self.labels[[i for _, i in found]]).sum() / (near.sum() + DOUBT))
 
 
-def unit(terms: Sequence[int], counts: Sequence[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    terms = np.array(terms, np.int64)
-    w = (1 + np.log(np.array(counts, float))) * idf[terms] if len(terms) else np.zeros(0)
+def unit(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms and their weights in a vector of length 1."""
+    terms = np.asarray(terms, np.int64)
+    w = (1 + np.log(np.asarray(counts, float))) * weights[terms]
     return terms, w / (np.sqrt((w * w).sum()) or 1)
 
 
-def calibrate(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the logistic curve from votes to labels, by Newton's method with a small penalty."""
-    x, theta = np.stack([votes - 0.5, np.ones(len(votes))], 1), np.array([4.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        slope = x.T @ (weights * (p - labels)) + 0.01 * (theta - [4.0, 0.0])
-        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), slope)
-        theta = theta - np.clip(step, -5, 5)
-        if abs(step).max() < 1e-9:
-            break
-    return float(max(theta[0], 1e-3)), float(theta[1])
+def _lists(batch: pa.RecordBatch, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The terms and counts of each row, from two columns of lists."""
+    (ends, terms), (_, counts) = ((np.asarray(c.offsets), np.asarray(c.values)) for c in (batch.column(first), batch.column(first + 1)))
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield terms[a:b], counts[a:b]
+
+
+def own_votes(of_examples: DataFrame, sent, neighbours: int, stands: dict[int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vote on each example by its neighbours, itself left out; its label; and how many documents it stands for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with python_task():
+            index, weights = sent.value
+            at = {i: k for k, i in enumerate(index.ids)}
+            for batch in batches:
+                votes = [index.vote(index.search(*unit(own, counts, weights), neighbours, at[i])) if len(own) else None for i, (own, counts) in zip(batch.column(0).to_pylist(), _lists(batch, 2), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes, pa.float64())], ["label", "vote"])
+
+    dealt = of_examples.repartition(16, of_examples.columns[0])
+    rows = sorted((r["vote"], r["label"]) for r in dealt.mapInArrow(run, "label int, vote double").collect() if r["vote"] is not None)
+    labels = np.array([x for _, x in rows], int)
+    return np.array([v for v, _ in rows]), labels.astype(float), np.array([stands[x] for x in labels.tolist()])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS, neighbours: int = NEIGHBOURS, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, score, predicted, evidence) for each row; evidence: (example, cosine, label) of the nearest.
 
-    Learns from labelled rows whose crc32(id) mod 5 is not 0, at most max_toxic and max_clean of them: the vocabulary
-    (terms tied to the label), the index of examples, and the curve that turns votes into scores, fitted on each
-    example's vote without itself. Examples of a class stand for its true share. Inverse document frequencies are
-    counted over all documents. A score is a function of the whole text alone; texts without a term of the
-    vocabulary, empty and null ones among them, get the share of toxic rows among such examples.
+    Learns from labelled rows whose crc32(id) mod 5 is not 0, at most max_toxic and max_clean of them. Terms are all
+    words that LEAST_EXAMPLES or more of these hold (at most max_terms, the most frequent); a term weighs its inverse
+    document frequency, counted over all documents, times its relevance among the examples (term_weights). Of ids
+    that several rows of docs share, the smallest text is the example. Examples of a class stand for its true share.
+    The curve that turns votes into scores is fitted on each example's vote without itself.
+
+    A score is a function of the whole text alone. Every text with a term is scored by its neighbours, toxic or
+    clean; texts without, empty and null ones among them, get the share of toxic rows among such examples. Without
+    examples of both classes every score is the share of toxic examples, or 0. Repeated rows score alike; rows
+    without an id are scored, not held out; empty tables give empty results; other columns are left out.
 
-    Without examples of both classes every score is the share of toxic examples, or 0. Repeated rows score alike;
-    rows without an id are scored, not held out; empty tables give empty results; other columns are left out. The
-    index is bounded by the parameters and broadcast; documents are scored where they are read, without a shuffle.
+    One pass over the texts, whose terms are written to the shared folder, and two over these. The index is bounded
+    by the parameters and broadcast; documents are scored where they are read, without a shuffle.
     """
     spark = python_ready(docs)
-    sample, _ = save(examples(labels, label_col, (max_clean, max_toxic), id_col), "toxicity-sample")
-    terms = choose_terms(docs, sample, max_terms, id_col, text_col)
-    counted, _ = save(term_counts(docs, terms, id_col, text_col), "toxicity-terms")
-    n = counted.count()
-    idf = np.full(len(terms), np.log(1.0 + n))
-    for t, df in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most max_terms rows
-        idf[t] = np.log(1 + n / df)
-    told = [(r[0], r["terms"], r["counts"], r["_label"]) for r in counted.join(F.broadcast(sample), id_col).dropDuplicates([id_col]).collect()]
-    told.sort(key=lambda r: str(r[0]))
-    all_of = labels.filter(~held_out(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("int").alias("label")).count()
-    natural, drawn = dict(all_of.collect()), Counter(r[3] for r in told)
-    stands = {k: natural.get(k, 0) / drawn[k] for k in drawn}
-    total = sum(stands[r[3]] for r in told)
-    blank = [r for r in told if not r[1]]
-    base = sum(stands[r[3]] * r[3] for r in blank) / (sum(stands[r[3]] for r in blank) + 1) if blank else sum(stands[r[3]] * r[3] for r in told) / total if told else 0.0
-    told = [r for r in told if r[1]]
-    index = BlockMaxIndex([unit(r[1], r[2], idf) for r in told], [r[3] for r in told], [r[0] for r in told], np.array([stands[r[3]] for r in told]))
-    at = {i: k for k, i in enumerate(index.ids)}
-    votes = np.array([index.vote(index.search(*unit(r[1], r[2], idf), neighbours, at[r[0]])) for r in told])
-    slope, shift = calibrate(votes, np.array([r[3] for r in told], float), np.array([stands[r[3]] for r in told])) if told else (4.0, 0.0)
-    sent = spark.sparkContext.broadcast((index, idf, slope, shift, base))
-    id_type = docs.schema[id_col].dataType
-    evidence = T.ArrayType(T.StructType().add("example", id_type).add("cosine", T.DoubleType()).add("label", T.IntegerType()))
+    with saved(spark) as save:
+        sample = save(examples(labels, label_col, (max_clean, max_toxic), id_col), "toxicity-sample")
+        given = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+        told = save(given.join(F.broadcast(sample), id_col).groupBy(id_col, "_label").agg(F.min("_text").alias("_text")), "toxicity-examples")
+        seen = words_of(told).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("toxic")).filter(F.col("n") >= LEAST_EXAMPLES)
+        vocabulary = sorted((r["term"], r["n"], r["toxic"]) for r in seen.orderBy(F.desc("n"), "term").limit(max_terms).collect())
+        terms, toxic = [t for t, _, _ in vocabulary], np.array([x for _, _, x in vocabulary], float)
+        clean = np.array([n for _, n, _ in vocabulary], float) - toxic
+        counted = save(term_counts(given, [id_col], terms), "toxicity-terms", keep=True)
+        weights = term_weights(document_frequencies(counted, len(terms)), counted.count(), toxic, clean)
+        # at most max_toxic + max_clean rows, as numbers
+        of_examples = save(term_counts(told, [id_col, "_label"], terms), "toxicity-vectors")
+        vectors = sorted(((r[id_col], r["_label"], *lists) for batch in of_examples.toArrow().combine_chunks().to_batches() for r, lists in zip(batch.select([0, 1]).to_pylist(), _lists(batch, 2), strict=True)), key=lambda r: str(r[0]))
+        all_of = labels.filter(~held_out(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("int").alias("label")).count()
+        natural, drawn = dict(all_of.collect()), Counter(r[1] for r in vectors)
+        stands = {k: natural.get(k, 0) / drawn[k] for k in drawn}
+        blank = [r for r in vectors if not len(r[2])] if len(drawn) > 1 else []
+        total = sum(stands[r[1]] for r in vectors)
+        base = sum(stands[r[1]] * r[1] for r in blank) / (sum(stands[r[1]] for r in blank) + 1) if blank else sum(stands[r[1]] * r[1] for r in vectors) / total if vectors else 0.0
+        vectors = [(r[0], r[1], *unit(r[2], r[3], weights)) for r in vectors if len(r[2])] if len(drawn) > 1 else []
+        index = BlockMaxIndex([r[2:] for r in vectors], [r[1] for r in vectors], [r[0] for r in vectors], [stands[r[1]] for r in vectors], len(terms))
+        sent = spark.sparkContext.broadcast((index, weights))
+        slope, shift = (4.0, -2.0)
+        if vectors:
+            slope, shift = fit_logistic(*own_votes(of_examples, sent, neighbours, stands), (4.0, -2.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with python_task():
-            index, idf, slope, shift, base = sent.value
-
-            @lru_cache(CACHE // 8)
-            def judged(terms: tuple[int, ...], counts: tuple[int, ...]) -> tuple[float, tuple]:
-                found = index.search(*unit(terms, counts, idf), neighbours)
-                score = 1 / (1 + np.exp(-np.clip(slope * (index.vote(found) - 0.5) + shift, -30, 30)))
-                return float(score), tuple({"example": index.ids[i], "cosine": round(s, 6), "label": int(index.labels[i])} for s, i in found)
-
+            index, weights = sent.value
             for batch in batches:
-                rows = [judged(tuple(t), tuple(c)) if t else (base, ()) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                struct = pa.struct([("example", batch.schema.field(0).type), ("cosine", pa.float64()), ("label", pa.int32())])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([list(r[1]) for r in rows], pa.list_(struct))], [id_col, "score", "evidence"])
-
-    schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
-    scored = counted.mapInArrow(run, schema)
+                ids = pa.array(index.ids, batch.schema.field(0).type)
+                scores, near, cosines, ends = [], [], [], [0]
+                for own, counts in _lists(batch, 1):
+                    found = index.search(*unit(own, counts, weights), neighbours) if len(own) and index.blocks else []
+                    scores.append(float(1 / (1 + np.exp(-np.clip(slope * index.vote(found) + shift, -30, 30)))) if found else base)
+                    near += [i for _, i in found]
+                    cosines += [round(s, 6) for s, _ in found]
+                    ends.append(len(near))
+                at = np.array(near, np.int64)
+                struct = pa.StructArray.from_arrays([ids.take(pa.array(at)), pa.array(cosines, pa.float64()), pa.array(index.labels[at].astype(np.int32))], ["example", "cosine", "label"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)], [id_col, "score", "evidence"])
+
+    evidence = T.ArrayType(T.StructType().add("example", docs.schema[id_col].dataType).add("cosine", T.DoubleType()).add("label", T.IntegerType()))
+    scored = counted.mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)]))
     return scored.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
