@@ -4,11 +4,14 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewater.llm import exact_dedup as E
+from tidewater.llm.common import new_path
 
 
 def norm(text):
@@ -58,27 +61,56 @@ def test_many_buckets_and_collisions(spark, monkeypatch):
 
 def test_chain_compares_bytes():
     rows = [(0, 5, b"a", 3, 1), (0, 5, b"b", 1, 2), (0, 5, b"a", 2, 4), (0, 6, b"a", 9, 1)]
-    assert [(k, link, first, n) for _, k, link, _, first, n in E._chained(rows)] == [(5, 0, 2, 5), (5, 1, 1, 2), (6, 0, 9, 1)]
+    assert [(k, link, first, n) for _, k, link, _, first, n, _ in E._chained(rows)] == [(5, 0, 2, 5), (5, 1, 1, 2), (6, 0, 9, 1)]
 
 
 def test_directory_doubles_and_splits():
     d = E.Directory()
     one = d.split(0)
     two = d.split(one)
-    assert (d.depth, d.slots) == (2, [0, 0, one, two])
+    assert (d.depth, d.slots.tolist()) == (2, [0, 0, one, two])
     d.split(0)
-    assert d.depth == 2 and len(set(d.slots)) == 4
+    assert d.depth == 2 and len(set(d.slots.tolist())) == 4
+    again = E.Directory.of_json(d.json())
+    assert (again.depth, again.slots.tolist(), again.owns) == (d.depth, d.slots.tolist(), d.owns)
+    assert [d.owns[b] for b in np.argsort(d.owners())] == sorted(d.owns)
 
 
 @pytest.mark.parametrize("capacity", [1, 3, 10, 1000])
-def test_directory_of_loads(capacity):
-    loads = {k: (k * 7) % 5 for k in range(64)}
-    d = E.Directory.of_loads(loads, 6, capacity)
+def test_directory_grows_by_loads(capacity):
+    loads = [(k * 7) % 5 for k in range(64)]
+    d = E.Directory().grow(np.cumsum([0, *loads]), 6, capacity)
     held = defaultdict(int)
-    for k, n in loads.items():
-        held[d.slots[k >> (6 - d.depth)]] += n
+    for k, n in enumerate(loads):
+        held[int(d.slots[k >> (6 - d.depth)])] += n
     assert all(n <= capacity or d.owns[b][1] == 6 for b, n in held.items())
-    assert sum(held.values()) == sum(loads.values())
+    assert sum(held.values()) == sum(loads)
+    before = list(d.slots)
+    d.grow(np.cumsum([0, *loads]), 6, capacity)
+    assert list(d.slots) == before  # nothing is overfull any more
+
+
+def test_index_is_reopened_and_grows(spark):
+    """Two batches, the second through the files that the first left: as if all came at once, in more buckets."""
+    rows = [(k, f"text {k % 150}") for k in range(400)]
+    a, b = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows[:30], rows[30:]))
+    path = new_path(spark, "exact-test")
+    E.exact_groups(a, index=E.HashIndex(spark, path, 20)).count()
+    small = E.HashIndex(spark, path, 20).directory()
+    out = found(E.exact_groups(b, index=E.HashIndex(spark, path, 20)))
+    index = E.HashIndex(spark, path, 20)
+    assert out == [x for x in expected(rows) if x[0] >= 30]
+    assert index.version() == 2 and index.directory().depth > small.depth and len(index.directory().owns) > len(small.owns)
+    assert index.chains().count() == 150
+    assert all(r["most"] <= 40 for r in index.chains().groupBy("bucket").count().agg({"count": "max"}).toDF("most").collect())
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "decimal(20,0)", "string", "date", "timestamp", "double"])
+def test_ids_of_any_type(spark, kind):
+    ids = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (None, "b")], "k int, text string")
+    value = F.date_add(F.lit("2024-01-01").cast("date"), F.col("k")) if kind in ("date", "timestamp") else F.col("k")
+    out = E.exact_groups(ids.select(value.cast(kind).alias("doc_id"), "text"))
+    assert out.schema["keep_id"].dataType == out.schema["doc_id"].dataType and sorted((r.group_size, r.kept) for r in out.collect()) == [(2, False), (2, False), (2, True), (2, True)]
 
 
 def test_drop_copies_keeps_columns_and_other_rows_of_an_id(odd):
