@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewater.llm.decontaminate import MASKS, contaminated, drop_contaminated
@@ -7,23 +10,29 @@ from tidewater.llm.decontaminate import MASKS, contaminated, drop_contaminated
 
 def plain(docs, items, overlap=0.5):
     """Every diagonal of every pair; a hit needs one mask to fit, or all tokens of a short item."""
-    words = lambda t: (t or "").encode().lower().split()
-    out = set()
+    known = {}
+    words = lambda t: np.array([known.setdefault(x, len(known)) for x in (t or "").encode().lower().split()], int)
+    masks = [np.array([c == "1" for c in m]) for m in MASKS]
+    items, out = [(i, words(t)) for i, t in items], set()
     for d, text in docs:
         w = words(text)
-        for i, other in items:
-            v = words(other)
-            if not v:
+        for i, v in items:
+            n = len(v)
+            if not n or not len(w):
                 continue
-            for start in range(-len(v) + 1, len(w)):
-                same = [0 <= start + k < len(w) and w[start + k] == v[k] for k in range(len(v))]
-                if len(v) < min(map(len, MASKS)):
-                    hit, least = all(same), 1.0
-                else:
-                    hit = any(all(same[at + k] for k, c in enumerate(m) if c == "1") and start + at >= 0 and start + at + len(m) <= len(w) for m in MASKS for at in range(len(v) - len(m) + 1))
-                    least = overlap
-                if hit and sum(same) >= least * len(v):
-                    out.add((d, i))
+            padded = np.concatenate([np.full(n - 1, -1), w, np.full(n - 1, -1)])
+            same = np.lib.stride_tricks.sliding_window_view(padded, n) == v  # a row for each diagonal
+            if n < min(map(len, MASKS)):
+                hit, least = same.all(1), 1.0
+            else:
+                inside = np.lib.stride_tricks.sliding_window_view(padded >= 0, n)
+                hit, least = np.zeros(len(same), bool), overlap
+                for m in masks:
+                    if n >= len(m):
+                        fits = (np.lib.stride_tricks.sliding_window_view(same, len(m), axis=1) | ~m).all(2) & np.lib.stride_tricks.sliding_window_view(inside, len(m), axis=1).all(2)
+                        hit |= fits.any(1)
+            if (hit & (same.sum(1) >= least * n)).any():
+                out.add((d, i))
     return out
 
 
@@ -51,3 +60,22 @@ def test_documents(spark, sf_dir, documents):
     items = [(r.item_id, r.text) for r in benchmark.collect()]
     some = documents.filter(F.length("text") < 3000)
     assert found(contaminated(some, benchmark)) == plain([(r.doc_id, r.text) for r in some.collect()], items)
+
+
+def test_equal_words(spark):
+    """A long document of one word, and items of the same word: each diagonal is a hit, and none is kept in one row with all."""
+    docs = spark.createDataFrame([(1, "same " * 20_000), (2, "other " * 50)], "doc_id int, text string")
+    items = spark.createDataFrame([(k, "same " * 40) for k in range(6)], "item_id int, text string")
+    out = contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(1, k) for k in range(6)} and {r.overlap for r in out} == {1.0}
+
+
+def test_recall_against_plain_overlap(spark):
+    """Items with a part of their tokens replaced, wherever they stand: what share the masks find."""
+    rng = random.Random(4)
+    word = lambda: "w%d" % rng.randrange(5_000)
+    items = [(k, [word() for _ in range(20 + k % 40)]) for k in range(200)]
+    docs = [(k, [word() for _ in range(30)] + [word() if rng.random() < 0.1 else t for t in item] + [word() for _ in range(30)]) for k, item in items]
+    frame = lambda rows, name: spark.createDataFrame([(k, " ".join(x)) for k, x in rows], f"{name} int, text string")
+    out = found(contaminated(frame(docs, "doc_id"), frame(items, "item_id")))
+    assert len({(k, k) for k, _ in items} & out) >= 0.98 * len(items)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import hot_join, save
+from tidewater.llm.common import hot_join, saved, without
 from tidewater.llm.line_dedup import LOWER, UPPER
 
 #: Fixed masks: 1 for a token that counts, 0 for one that may differ.
@@ -16,6 +16,8 @@ MASKS = ("1110111", "11011011", "101101101")
 OVERLAP = 0.5
 #: Bytes of benchmark hashes up to which they are broadcast; beyond, both sides are shuffled.
 SMALL = 64 << 20
+#: Neighbouring diagonals of a document and an item that are verified in one row.
+NEAR = 64
 
 
 def tokens(text: Column) -> Column:
@@ -23,6 +25,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+"), lambda x: x != "")
 
 
+def hashed_tokens(text: Column) -> Column:
+    """The tokens as 64-bit hashes, which are compared in their place."""
+    return F.transform(tokens(text), lambda x: F.xxhash64(x))
+
+
 def shifted(words: Column, span: int) -> Column:
     """A struct (w0, w1, ...) of span tokens for each start, with nulls past the end.
 
@@ -51,35 +58,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP
     stand in a row. row is a hash of the text, which tells rows apart that share an id. Null and empty texts, and
     items without tokens, are never found; repeated items are found each; empty tables give empty results.
 
-    The benchmark's hashes are broadcast while they are few (their number is counted), else joined by shuffle. Hits
-    are merged to one row per document, item and diagonal before they are shuffled; only their documents' tokens are
-    read again. A passage that very many documents hold gives each of them a row, and no pairs of documents.
+    The benchmark's hashes are broadcast while they are few (their number is counted), else joined by shuffle, where
+    Spark's skew handling cuts what a frequent seed brings. Hits are merged to one row per document, item and diagonal
+    before they are shuffled, then to one for each NEAR neighbouring diagonals, so no row grows with a document's hits.
+    Only texts of documents with hits are read again. A passage that very many documents hold gives each of them a
+    row, and no pairs of documents.
     """
     span = min(map(len, masks))
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("row", F.xxhash64("_text"))
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("_item")).filter(F.size("_item") > 0)
-    items, _ = save(items, "decon-items")
-    long = seeds(items, ["item_id"], "_item", masks).select("item_id", F.col("at").alias("_item_at"), "_seed")
-    # a short item is one seed: its tokens, all of which count, at each length below the shortest mask
-    short = items.filter(F.size("_item") < span).select("item_id", F.lit(0).alias("_item_at"), F.xxhash64(F.lit(-1), F.concat_ws(" ", "_item")).alias("_seed"), F.size("_item").alias("_length"))
-    wanted, _ = save(long.union(short.select("item_id", "_item_at", "_seed")), "decon-seeds")
-    lengths = sorted(r[0] for r in short.select("_length").distinct().collect())
-    words = docs.select("_id", "row", tokens(F.col("_text")).alias("_words"))
-    found = seeds(words, ["_id", "row"], "_words", masks)
-    for n in lengths:
-        run = words.select("_id", "row", F.posexplode(shifted(F.col("_words"), n)).alias("at", "_w"))
-        found = found.union(run.filter(f"_w.w{n - 1} is not null").select("_id", "row", "at", F.xxhash64(F.lit(-1), F.concat_ws(" ", *(F.col(f"_w.w{k}") for k in range(n))))))
-    small = wanted.count() * 64 <= SMALL
-    hits = found.join(F.broadcast(wanted) if small else wanted, "_seed")
-    hits = hits.groupBy("_id", "row", "item_id", (F.col("at") - F.col("_item_at")).alias("start")).agg(F.count(F.lit(1)).alias("_seeds"))
-    hits, _ = save(hits, "decon-hits")
-    # the tokens of documents with hits, and of the items, beside each hit
-    per_item = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
-    known, _ = save(items.join(per_item, "item_id"), "decon-known")
-    beside = hot_join(hits, known, ["item_id"], "_n", hits.count(), F.xxhash64("_id", "row", "start"))
-    named = beside.groupBy("_id", "row").agg(F.collect_list(F.struct("item_id", "start", "_item")).alias("_hits"))
-    read = docs.join(named.withColumnsRenamed({"_id": "_own", "row": "_row"}), F.col("_id").eqNullSafe(F.col("_own")) & (F.col("row") == F.col("_row"))).dropDuplicates(["_id", "row"])
-    each = read.select("_id", "row", tokens(F.col("_text")).alias("_words"), "_hits").select("_id", "row", F.inline(F.transform("_hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["start"].alias("start"), F.size(h["_item"]).alias("n_tokens"), _agreeing(F.col("_words"), h["_item"], h["start"]).alias("matched")))))
+    with saved(docs.sparkSession) as save:
+        items = benchmark.select(F.col(item_col).alias("item_id"), hashed_tokens(F.col(item_text_col)).alias("_item")).filter(F.size("_item") > 0)
+        items = save(items, "decon-items", keep=True)
+        long = seeds(items, ["item_id"], "_item", masks).select("item_id", F.col("at").alias("_item_at"), "_seed")
+        # a short item is one seed: its tokens, all of which count, at each length below the shortest mask
+        short = items.filter(F.size("_item") < span).select("item_id", F.lit(0).alias("_item_at"), F.xxhash64(F.lit(-1), "_item").alias("_seed"), F.size("_item").alias("_length"))
+        wanted = save(long.union(short.select("item_id", "_item_at", "_seed")), "decon-seeds")
+        lengths = sorted(r[0] for r in short.select("_length").distinct().collect())
+        words = docs.select("_id", "row", hashed_tokens(F.col("_text")).alias("_words"))
+        found = seeds(words, ["_id", "row"], "_words", masks)
+        for n in lengths:
+            run = words.select("_id", "row", F.posexplode(shifted(F.col("_words"), n)).alias("at", "_w"))
+            found = found.union(run.filter(f"_w.w{n - 1} is not null").select("_id", "row", "at", F.xxhash64(F.lit(-1), F.array(*(F.col(f"_w.w{k}") for k in range(n))))))
+        few = wanted.count() * 64 <= SMALL
+        hits = found.join(F.broadcast(wanted) if few else wanted, "_seed").select("_id", "row", "item_id", (F.col("at") - F.col("_item_at")).alias("start")).distinct()
+        hits = hits.groupBy("_id", "row", "item_id", F.floor(F.col("start") / NEAR).alias("_part")).agg(F.collect_list("start").alias("_starts")).drop("_part")
+        hits = save(hits, "decon-hits", keep=True)
+        n_hits, n_starts = hits.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_starts")), F.lit(0))).first()
+        # the texts of documents with hits, and the items, beside each hit
+        own = hits.withColumnsRenamed({"_id": "_own", "row": "_row"})
+        read = docs.join(F.broadcast(own) if 64 * n_hits + 8 * n_starts <= SMALL else own, F.col("_id").eqNullSafe(F.col("_own")) & F.col("row").eqNullSafe(F.col("_row")))
+        read = read.select("_id", "row", "item_id", "_starts", hashed_tokens(F.col("_text")).alias("_words"))
+        if items.agg(F.coalesce(F.sum(F.size("_item") + 8), F.lit(0))).first()[0] * 8 <= SMALL:
+            beside = read.join(F.broadcast(items), "item_id")
+        else:
+            per_item = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
+            beside = hot_join(read, save(items.join(per_item, "item_id"), "decon-known", keep=True), ["item_id"], "_n", n_hits, F.xxhash64("_id", "row", "_starts"))
+    each = beside.select("_id", "row", "item_id", F.size("_item").alias("n_tokens"), F.inline(F.transform("_starts", lambda s: F.struct(s.alias("start"), _agreeing(F.col("_words"), F.col("_item"), s).alias("matched")))))
     each = each.withColumn("overlap", F.col("matched") / F.col("n_tokens")).filter(F.col("overlap") >= F.when(F.col("n_tokens") < span, F.lit(1.0)).otherwise(F.lit(overlap)))
     best = each.groupBy("_id", "row", "item_id").agg(F.max(F.struct("matched", (-F.col("start")).alias("_start"), "n_tokens", "overlap")).alias("_b"))
     return best.select(F.col("_id").alias(id_col), "row", "item_id", (-F.col("_b._start")).alias("start"), "_b.matched", "_b.n_tokens", "_b.overlap")
@@ -94,6 +108,5 @@ def _agreeing(words: Column, item: Column, start: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that hold no benchmark item, with their columns."""
-    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("_gone"), "row").distinct()
-    gone, _ = save(gone, "decon-gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["row"]), "left_anti")
+    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("_gone"), "row")
+    return without(docs, gone, id_col, text_col, "decon-gone")
