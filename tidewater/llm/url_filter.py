@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import hot_join, save
+from tidewater.llm.common import hot_join, saved
 from tidewater.llm.components import connected_components
 from tidewater.llm.line_dedup import LOWER, UPPER
 
@@ -64,18 +64,18 @@ def _target(base: Column, href: Column) -> Column:
     )
 
 
-def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v) between a page's url and where its canonical links and meta refreshes in the html lead."""
+def alias_edges(pages: DataFrame, save, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(u, v), from two tables that save writes, between a page's url and where its canonical links and meta refreshes in the html lead."""
     html, tag = F.col(html_col), F.col("_tag")
     wanted = F.contains(F.lower(html), F.lit("canonical")) | F.contains(F.lower(html), F.lit("http-equiv"))
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
     value = lambda name: F.regexp_replace(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1), "^[\"']|[\"']$", "")
     found = pages.filter(wanted).select(F.col(url_col).alias("_url"), F.explode(tags).alias("_tag"))
-    found, _ = save(found.select("_url", value("rel").alias("_rel"), value("href").alias("_href"), value("http-equiv").alias("_equiv"), value("content").alias("_content")), "url-tags")
+    found = save(found.select("_url", value("rel").alias("_rel"), value("href").alias("_href"), value("http-equiv").alias("_equiv"), value("content").alias("_content")), "url-tags")
     link = F.when(F.lower("_rel").rlike(r"(^|\s)canonical(\s|$)"), F.col("_href"))
     jump = F.when(F.lower("_equiv") == "refresh", F.regexp_extract("_content", r"(?is)\burl\s*=\s*['\"]?([^'\"]*)", 1))
     found = found.select("_url", F.coalesce(link, jump).alias("_to")).filter("_to is not null")
-    found, _ = save(found.select(_let(F.col("_url"), _node).alias("u"), _let(_let(F.struct("_url", "_to"), lambda x: _target(x["_url"], x["_to"])), _node).alias("v")), "url-links")
+    found = save(found.select(_let(F.col("_url"), _node).alias("u"), _let(_let(F.struct("_url", "_to"), lambda x: _target(x["_url"], x["_to"])), _node).alias("v")), "url-links")
     return found.filter("u is not null and v is not null and u <> v")
 
 
@@ -92,27 +92,28 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges
     """
     given = pages.drop("host", "path", "rule", "verdict")
     url = F.col(url_col)
-    edges = alias_edges(pages, url_col, html_col) if edges is None else edges.select(_let(F.col("u"), _node).alias("u"), _let(F.col("v"), _node).alias("v"))
-    edges, _ = save(edges, "url-edges")
-    judged = given.withColumns({"host": url_host(url), "path": url_path(url)})
-    own = matched_rule(F.col("host"), F.col("path"), rules)
-    if edges.isEmpty():
-        return judged.withColumn("_own", own).select(*given.columns, "host", "path", F.col("_own.rule").alias("rule"), F.coalesce("_own.verdict", F.lit(default)).alias("verdict"))
-    nodes, _ = save(connected_components(edges), "url-nodes")
-    as_url = F.concat(F.lit("x://"), F.col("node"))
-    ruled = nodes.withColumn("_r", matched_rule(url_host(as_url), url_path(as_url), rules))
-    said = ruled.groupBy("component").agg(F.max(F.when(F.col("_r.verdict") == "allow", 1)).alias("_allow"), F.max(F.when(F.col("_r.verdict") == "block", 1)).alias("_block"), F.count(F.lit(1)).alias("_n"))
-    said, _ = save(said.withColumn("_said", F.when(F.col("_allow") == 1, "allow").when(F.col("_block") == 1, "block")).drop("_allow", "_block"), "url-said")
-    by_node = hot_join(nodes, said, ["component"], "_n", nodes.count(), F.col("node")).filter("_said is not null").select(F.col("node").alias("_node"), "_said")
-    # a node has one row in by_node; pages that share a url are spread by Spark's skew handling and counted first here
-    per_node = judged.groupBy(_let(url, _node).alias("_node")).agg(F.count(F.lit(1)).alias("_pages"))
-    by_node, _ = save(by_node.join(per_node, "_node"), "url-by-node")
-    judged = judged.withColumns({"_node": _let(url, _node), "_own": own})
+    judged = given.select(F.struct("*").alias("_given"), url_host(url).alias("host"), url_path(url).alias("path"), _let(url, _node).alias("_node"))
+    judged = judged.withColumn("_own", matched_rule(F.col("host"), F.col("path"), rules))
+    result = ["_given.*", "host", "path", F.col("_own.rule").alias("rule")]
+    with saved(pages.sparkSession) as save:
+        edges = alias_edges(pages, save, url_col, html_col) if edges is None else edges.select(_let(F.col("u"), _node).alias("u"), _let(F.col("v"), _node).alias("v"))
+        edges = save(edges, "url-edges")
+        if edges.isEmpty():
+            return judged.select(*result, F.coalesce("_own.verdict", F.lit(default)).alias("verdict"))
+        nodes = save(connected_components(edges), "url-nodes")
+        as_url = F.concat(F.lit("x://"), F.col("node"))
+        ruled = nodes.withColumn("_r", matched_rule(url_host(as_url), url_path(as_url), rules))
+        said = ruled.groupBy("component").agg(F.max(F.when(F.col("_r.verdict") == "allow", 1)).alias("_allow"), F.max(F.when(F.col("_r.verdict") == "block", 1)).alias("_block"), F.count(F.lit(1)).alias("_n"))
+        said = save(said.withColumn("_said", F.when(F.col("_allow") == 1, "allow").when(F.col("_block") == 1, "block")).drop("_allow", "_block"), "url-said")
+        by_node = hot_join(nodes, said, ["component"], "_n", nodes.count(), F.col("node")).filter("_said is not null").select(F.col("node").alias("_node"), "_said")
+        # a node has one row in by_node; pages that share a url are counted and spread
+        per_node = judged.groupBy("_node").agg(F.count(F.lit(1)).alias("_pages"))
+        by_node = save(by_node.join(per_node, "_node"), "url-by-node", keep=True)
     out = hot_join(judged, by_node, ["_node"], "_pages", given.count(), url_spread(given, url_col), "left")
-    return out.select(*given.columns, "host", "path", F.col("_own.rule").alias("rule"), F.coalesce("_own.verdict", "_said", F.lit(default)).alias("verdict"))
+    return out.select(*result, F.coalesce("_own.verdict", "_said", F.lit(default)).alias("verdict"))
 
 
 def url_spread(pages: DataFrame, url_col: str) -> Column:
-    """What deals pages of one url over slices: the other columns that are plain."""
+    """What deals pages of one url over slices: the other columns that are plain, else a row's place in its file, alike at every try."""
     plain = [c for c, kind in pages.dtypes if c != url_col and not kind.startswith(("array", "map", "struct", "variant"))]
-    return F.xxhash64(*(F.col(c) for c in plain)) if plain else F.rand(7)
+    return F.xxhash64(*(F.col(f"_given.`{c}`") for c in plain)) if plain else F.monotonically_increasing_id()
