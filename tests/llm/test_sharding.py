@@ -14,6 +14,7 @@ def test_round_trip(documents, odd):
     for rows in (documents, odd):
         out = shard(rows, target=200_000, arrival_rows=20)
         assert out.columns == [*[c for c in rows.columns if c != "shard_id"], "shard_id", "shard_bytes"]
+        assert "_file" not in rows.columns or out.filter("_file = 'clash' and _run = 'clash'").count() == rows.count()
         own = rows.drop("shard_id")
         assert own.exceptAll(out.select(own.columns)).count() == out.select(own.columns).exceptAll(own).count() == 0
     assert shard(odd.limit(0)).count() == 0
@@ -43,3 +44,44 @@ def test_versions(spark):
         store.commit(4, [])
     assert store.vacuum() == len(before) and store.read().count() == 50
     assert store.compact() == 6  # nothing to do
+
+
+def test_tiers_of_several_arrivals(spark, documents):
+    """Small arrivals are merged once a tier has enough of them, larger shards wait for their like; rows stay whole at each step."""
+    store, n, sizes = Store(spark, new_path(spark, "shards-tiers")), 0, []
+    for k in range(9):
+        store.append(documents.coalesce(1))
+        n += documents.count()
+        store.compact(target=10_000_000, fan_in=4, factor=4)
+        assert store.read().count() == n
+        sizes.append(len(store.shards()))
+    assert sizes[:4] == [1, 2, 3, 1] and max(sizes) < 9
+    out = shard(documents, target=10_000_000, arrivals=3)
+    assert out.drop("shard_id", "shard_bytes").exceptAll(documents).count() == 0 and out.count() == documents.count()
+
+
+def test_writers_at_the_same_time(spark, monkeypatch):
+    """An append that loses the race is tried again; a merge whose shards went meanwhile fails and leaves nothing."""
+    store, other = (Store(spark, new_path(spark, "shards-race")) for _ in range(2))
+    other.path, other.manifests = store.path, store.manifests
+    store.append(spark.range(5))
+    commit, raced = Store.commit, []
+
+    def late(self, base, shards, schema=None):
+        if self is store and not raced:
+            raced.append(other.append(spark.range(5, 9)))
+        return commit(self, base, shards, schema)
+
+    monkeypatch.setattr(Store, "commit", late)
+    assert store.append(spark.range(9, 12)) == 3 and sorted(r.id for r in store.read().collect()) == list(range(12))
+    folder = f"{store.path}/merged-x"
+    spark.range(3).write.parquet(folder)
+    with pytest.raises(RuntimeError, match="same shards"):
+        store.exchange({"gone"}, folder)
+    spark.range(3).write.parquet(f"{store.path}/arrived-left")
+    assert store.vacuum(left_over=0) > 0 and store.read().count() == 12
+
+
+def test_planning_is_linear():
+    runs = plan_runs(sized(*[10] * 200_000), target=1000, fan_in=4, factor=4)
+    assert len(runs) == 2000

@@ -35,7 +35,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents")).select("doc_id", "shard_id", "shard_bytes", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+    return shard(table(spark, sf_dir, "documents"), arrivals=2).select("doc_id", "shard_id", "shard_bytes", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
