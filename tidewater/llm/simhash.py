@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import hot_join, python_ready, python_task, save
+from tidewater.llm.common import hot_join, python_ready, python_task, saved, slices, without
 from tidewater.llm.components import connected_components
 
 WORDS, SEED, BITS = 3, 42, 2
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, n_words: int = WORDS, seed: int = SEED, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with python_task():
-            for batch in batches:
+            for batch in slices(batches):
                 found = pa.array([fingerprint(x.as_py(), n_words, seed) for x in batch.column(2)], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["id", "row", "fp"])
 
@@ -96,16 +96,16 @@ def fingerprint_classes(prints: DataFrame) -> DataFrame:
     return prints.groupBy("fp").agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("_n"))
 
 
-def component_rows(prints: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+def component_rows(prints: DataFrame, classes: DataFrame, links: DataFrame, save) -> DataFrame:
     """prints (id, row, fp) with component_id, the smallest id that the links (u, v) between fps join to the row's fp."""
     grouped = connected_components(links).join(classes, F.col("node") == classes["fp"])
     firsts = grouped.groupBy("component").agg(F.min("_first").alias("_least"))
     linked = grouped.join(firsts, "component").select(F.col("node").alias("fp"), "_least")
-    whole, _ = save(classes.join(linked, "fp", "left").select("fp", "_n", F.coalesce("_least", "_first").alias("component_id")), "simhash-groups")
+    whole = save(classes.join(linked, "fp", "left").select("fp", "_n", F.coalesce("_least", "_first").alias("component_id")), "simhash-groups", keep=True)
     return hot_join(prints, whole, ["fp"], "_n", prints.count(), F.xxhash64("id", "row"))
 
 
-def near_duplicates(docs: DataFrame, most: int = BITS, n_words: int = WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, most: int = BITS, n_words: int = WORDS, seed: int = SEED, few: int = FEW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, component_id, row) for each row: documents that a chain of close fingerprints joins.
 
     component_id is the smallest id reachable, the row's own included; nulls are passed over, and a component without
@@ -115,15 +115,15 @@ def near_duplicates(docs: DataFrame, most: int = BITS, n_words: int = WORDS, see
     Equal fingerprints are merged first, so the pairs are between different ones; a fingerprint that many documents
     have is spread when results go back to the rows.
     """
-    prints, _ = save(fingerprints(docs, n_words, seed, id_col, text_col), "simhash-prints")
-    classes, _ = save(fingerprint_classes(prints), "simhash-classes")
-    links, _ = save(close_pairs(classes, most), "simhash-links")
-    out = component_rows(prints, classes, links)
+    with saved(docs.sparkSession) as save:
+        prints = save(fingerprints(docs, n_words, seed, id_col, text_col), "simhash-prints", keep=True)
+        classes = save(fingerprint_classes(prints), "simhash-classes")
+        links = save(close_pairs(classes, most, few), "simhash-links")
+        out = component_rows(prints, classes, links, save)
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "row")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose id is the smallest of their component, with their columns; rows without an id stay."""
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter(F.col("component_id") != F.col(id_col))
-    gone, _ = save(gone.select(F.col(id_col).alias("_gone"), "row").distinct(), "simhash-gone")
-    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["row"]), "left_anti")
+    return without(docs, gone.select(F.col(id_col).alias("_gone"), "row"), id_col, text_col, "simhash-gone")

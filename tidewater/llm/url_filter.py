@@ -100,7 +100,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges
         edges = save(edges, "url-edges")
         if edges.isEmpty():
             return judged.select(*result, F.coalesce("_own.verdict", F.lit(default)).alias("verdict"))
-        nodes = save(connected_components(edges), "url-nodes")
+        nodes = save(connected_components(edges, few_edges=0), "url-nodes")
         as_url = F.concat(F.lit("x://"), F.col("node"))
         ruled = nodes.withColumn("_r", matched_rule(url_host(as_url), url_path(as_url), rules))
         said = ruled.groupBy("component").agg(F.max(F.when(F.col("_r.verdict") == "allow", 1)).alias("_allow"), F.max(F.when(F.col("_r.verdict") == "block", 1)).alias("_block"), F.count(F.lit(1)).alias("_n"))
