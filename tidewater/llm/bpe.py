@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator, Sequence
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -15,15 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import python_ready, python_task
+from tidewater.llm.common import python_ready, python_task, slices
 
 #: Unicode's White_Space characters, and the split pattern of this vocabulary with that class for \s.
-WS = r"\t-\r \x85\xa0  -     　"
+WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 #: Words kept with their ids by each worker before it starts anew.
-CACHE = 100_000
+CACHE = 50_000
 #: Longer words are not kept; symbols merged at a time; characters of text coded at a time.
-LONG, BATCH, TEXTS = 64, 1 << 19, 1 << 21
+LONG, BATCH, TEXTS = 64, 1 << 17, 1 << 19
+#: Words of a like length are merged one by one where each is over so many times longer than their number.
+ALONE = 256
 
 _NONE = 1 << 62
 _SHIFT = 32
@@ -96,6 +99,53 @@ class PairTrees:
                 nodes = [x >> 1 for x in nodes]
 
 
+class PairTree:
+    """The same for one word, in plain lists: quicker where words are so long that few are merged together."""
+
+    def __init__(self, ids: list[int], pairs: Pairs):
+        n = len(ids)
+        self.ids, self.pairs, self.size = ids, pairs, 1 << max(n - 2, 0).bit_length()
+        first = np.array(ids, np.int64)
+        self.tree = [_NONE] * (2 * self.size)
+        if n > 1:
+            self.tree[self.size : self.size + n - 1] = pairs.leaf(first[:-1], first[1:], np.arange(n - 1)).tolist()
+        for k in range(self.size - 1, 0, -1):
+            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
+
+    def _set(self, at: int, value: int) -> None:
+        tree, k = self.tree, at + self.size
+        tree[k] = value
+        while k > 1:
+            k >>= 1
+            least = min(tree[2 * k], tree[2 * k + 1])
+            if tree[k] == least:
+                break
+            tree[k] = least
+
+    def merge_all(self) -> tuple[int, ...]:
+        ids, n, made, rank = self.ids, len(self.ids), self.pairs.new_ids, self.pairs.ranks.get
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+
+        def leaf(a: int, b: int) -> int:
+            r = rank(ids[a] << _SHIFT | ids[b])
+            return _NONE if r is None else r << _SHIFT | a
+
+        while (top := self.tree[1]) < _NONE:
+            i = top & _LOW
+            j = after[i]
+            ids[i] = made[top >> _SHIFT]
+            ids[j] = -1
+            k = after[i] = after[j]
+            if j < self.size:
+                self._set(j, _NONE)
+            if k >= 0:
+                before[k] = i
+            self._set(i, leaf(i, k) if k >= 0 else _NONE)
+            if (p := before[i]) >= 0:
+                self._set(p, leaf(p, i))
+        return tuple(x for x in ids if x >= 0)
+
+
 class Pairs:
     """The pairs that merge: looked up for many at once."""
 
@@ -105,6 +155,11 @@ class Pairs:
         keys = left << _SHIFT | right
         self.made, self.order = made, np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
+        self.new_ids = made.tolist()
+
+    @cached_property
+    def ranks(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.order.tolist(), strict=True))
 
     def leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rank above, position below; _NONE for a pair that does not merge."""
@@ -113,11 +168,26 @@ class Pairs:
         return np.where(self.keys[k] == key, self.order[k] << _SHIFT | at, _NONE)
 
 
+#: What a tokenizers file must say for its texts to be coded as here; it may leave out what is None or False.
+PARTS = {"normalizer": {}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "decoder": {"type": "ByteLevel"}}
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def supported(spec: dict) -> None:
+    """ValueError for a vocabulary that is not byte-level BPE with the usual split, or whose added tokens strip or match whole words."""
+    parts = [(spec.get(k) or {}, known) for k, known in PARTS.items()] + [(spec["model"], MODEL), *((x, ADDED) for x in spec["added_tokens"])]
+    for own, known in parts:
+        if not known and own or any((own.get(k) or None) != (v or None) for k, v in known.items()):
+            raise ValueError(f"not supported: {({k: v for k, v in own.items() if k not in ('vocab', 'merges')})}; only {known}")
+
+
 class Coder:
     """Encodes and decodes as the vocabulary in a tokenizers file says."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        supported(spec)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         self.bytes = [b""] * (1 + max([*vocab.values(), *(x["id"] for x in spec["added_tokens"])]))
@@ -145,6 +215,10 @@ class Coder:
         for k, w in enumerate(words):
             by_size.setdefault(1 << max(len(w) - 2, 0).bit_length(), []).append(k)
         for size, all_of in by_size.items():
+            if size >= ALONE * len(all_of):
+                for k in all_of:
+                    found[k] = PairTree(self.first[np.frombuffer(words[k], np.uint8)].tolist(), self.pairs).merge_all()
+                continue
             step = max(1, BATCH // size)
             for at in range(0, len(all_of), step):
                 some = all_of[at : at + step]
@@ -214,17 +288,6 @@ class Coder:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_coders: dict[int, Coder] = {}
-
-
-def coder_of(spec: str) -> Coder:
-    """One coder for each vocabulary in a worker, so that its words stay known between tasks."""
-    key = hash(spec)
-    if key not in _coders:
-        _coders[key] = Coder(spec)
-    return _coders[key]
-
-
 def read_spec(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -255,16 +318,19 @@ def encode_decode(docs: DataFrame, spec: str, outputs: Sequence[str] = ("n_token
     spec is the content of a tokenizers file with byte-level BPE; the driver reads it and sends it to the executors,
     as its size is fixed. A special token in a text gets its id. A null text counts as empty and has no ids;
     repeated rows are coded alike; null ids of documents stay null; other columns are left out. One pass, no shuffle;
-    each document is coded whole by the worker that reads it.
+    each document is coded whole by the worker that reads it, some at a time. A file that is not byte-level BPE with
+    the usual split is refused with a ValueError. A word, which is a run without white space, takes some 60 bytes of a
+    worker's memory for each of its own bytes while it is merged; it is never cut.
     """
+    supported(json.loads(spec))
     sent = python_ready(docs).sparkContext.broadcast(spec)
     schema = T.StructType([docs.schema[id_col], *(T.StructField(x, _SPARK[OUTPUTS[x]]) for x in outputs)])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(sent.value)
-        with python_task(coder.words, coder.chunks, coder.after):
+        with python_task():
+            coder = Coder(sent.value)
             names, sha = coder.names.__getitem__, hashlib.sha256
-            for batch in batches:
+            for batch in slices(batches):
                 cols: dict[str, list] = {x: [] for x in outputs}
                 for ids in chain.from_iterable(map(coder.encode, groups(batch.column(1)))):
                     decoded = coder.decode(ids) if "decoded" in cols or "decoded_sha256" in cols else ""
