@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import python_ready, python_task
+from tidewater.llm.common import python_ready, python_task, slices
 
 #: Fixed values of HTML: elements without content, with raw text, within a line of text, and those whose start ends an open one.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,7 +46,9 @@ MOST = 0.8
 #: How much a path within an article element weighs, and one within an element whose class or id only says so.
 WEIGHTS = {"element": 8.0, "word": 2.0, "": 1.0}
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# a quote that nothing closes is a character like others, so the tag ends at the next >
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _PUNCT = re.compile(r"[.,;:!?…。、，；：！？]")
@@ -57,7 +59,7 @@ class Open:
     """An open element: its path, whether its text is never the article's, what trusts it, and the doubted elements around it."""
 
     tag: str
-    path: str
+    path: int
     junk: bool
     trust: str
     block: int
@@ -67,9 +69,9 @@ class Open:
 
 @dataclass
 class Node:
-    """A run of text without block boundary."""
+    """A run of text without block boundary; path: the number of its root-to-leaf path."""
 
-    path: str
+    path: int
     trust: str
     block: int
     doubts: tuple[int, ...] = ()
@@ -78,6 +80,22 @@ class Node:
     text: str = ""
 
 
+class Paths(dict):
+    """Numbers for root-to-leaf paths: by the parent's number and the last element's label."""
+
+    def __missing__(self, step: tuple[int, str]) -> int:
+        self[step] = len(self) + 1
+        return self[step]
+
+    def name(self, path: int) -> str:
+        parents = {number: step for step, number in self.items()}
+        labels = []
+        while path:
+            path, label = parents[path]
+            labels.append(label)
+        return "".join(f"/{x}" for x in reversed(labels))
+
+
 def _marks(tag: str, attributes: str, trust: str) -> tuple[bool, bool, str, str]:
     """Whether an element is never content, whether that is doubted, what trusts it, and its first class."""
     if tag in NEVER:
@@ -100,12 +118,14 @@ def _marks(tag: str, attributes: str, trust: str) -> tuple[bool, bool, str, str]
     return False, doubted, "element" if tag in ARTICLE else "word" if not ARTICLE_WORDS.isdisjoint(words) and not junk else "", first
 
 
-def text_nodes(page: str) -> list[Node]:
+def text_nodes(page: str, paths: Paths | None = None) -> list[Node]:
     """The page's text by blocks, with root-to-leaf paths of block elements; text that is never content is left out.
 
-    Open elements end as HTML lets them: p before a block, li before li, and so on; stray ends are passed over.
+    Open elements end as HTML lets them: p before a block, li before li, and so on; stray ends are passed over. Elements
+    may be nested as deep as they are.
     """
-    stack = [Open("", "", False, "", 0)]
+    paths = Paths() if paths is None else paths
+    stack, open_tags, endless = [Open("", 0, False, "", 0)], Counter(), set()
     nodes: list[Node] = []
     block, at, size, doubts = 0, 0, len(page), 0
 
@@ -124,6 +144,7 @@ def text_nodes(page: str) -> list[Node]:
         nonlocal block
         if any(x.tag not in INLINE for x in stack[to:]):
             block += 1
+        open_tags.subtract(x.tag for x in stack[to:])
         del stack[to:]
 
     while at < size:
@@ -139,6 +160,8 @@ def text_nodes(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if ending:
+            if not open_tags[tag]:
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     close(k)
@@ -146,14 +169,18 @@ def text_nodes(page: str) -> list[Node]:
                 if stack[k].tag in SCOPES and tag in INLINE:
                     break
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+        if tag in RAW and not (tag in ("svg", "math") and attributes.endswith("/")):
+            end = None if tag in endless else _RAW_END[tag].search(page, at)
+            if end is None:
+                endless.add(tag)
             at = end.end() if end else size if tag in ("script", "style") else at
             if end or tag in ("script", "style"):
                 if tag not in INLINE:
                     block += tag != "script" and tag != "style" and tag != "noscript"
                 continue
-        if tag in ENDS_P:
+        elif tag in RAW:
+            continue
+        if tag in ENDS_P and open_tags["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     close(k)
@@ -177,10 +204,10 @@ def text_nodes(page: str) -> list[Node]:
         doubts += doubted
         inline = tag in INLINE
         block += not inline
-        if len(stack) < 512:  # deeper ones count as their parent's text
-            path = top.path if inline else f"{top.path}/{tag}" + (f".{first}" if first else "")
-            trust = max(top.trust, trust, key=WEIGHTS.__getitem__)
-            stack.append(Open(tag, path, junk, trust, block, (*top.doubts, doubts) if doubted else top.doubts, top.linked or tag == "a"))
+        path = top.path if inline else paths[top.path, tag + (f".{first}" if first else "")]
+        trust = max(top.trust, trust, key=WEIGHTS.__getitem__)
+        open_tags[tag] += 1
+        stack.append(Open(tag, path, junk, trust, block, (*top.doubts, doubts) if doubted else top.doubts, top.linked or tag == "a"))
     for n in nodes:
         n.text = " ".join(html.unescape("".join(n.parts)).split())
     return _undoubted([n for n in nodes if n.text])
@@ -206,7 +233,7 @@ def content(nodes: list[Node]) -> list[Node]:
     A link's text counts little. All paths stand for election: the mean of one that an article element or a class
     trusts counts WEIGHTS times, both against the best mean and as what the paths with less trust are held against.
     """
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for n in nodes:
         own = sums.setdefault(n.path, [0, 0, 0])
         own[0] += min(max(len(n.text) - n.links, len(n.text) / 50), LONG)
@@ -221,7 +248,7 @@ def content(nodes: list[Node]) -> list[Node]:
         length, points = (sum(r[j] * weights[abs(i - j)] for j in near) / total for r in raw)
         own = raw[0][i] * (0.5 + raw[1][i])
         fused.append(sqrt(length * (0.5 + points) * own))  # so a menu beside the article gains little from it
-    by_path: dict[str, list[float]] = {}
+    by_path: dict[int, list[float]] = {}
     for n, x in zip(nodes, fused, strict=True):
         by_path.setdefault(n.path, []).append(x)
     means = {p: sum(x) / len(x) for p, x in by_path.items()}
@@ -244,7 +271,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with python_task():
-            for batch in batches:
+            for batch in slices(batches):
                 texts = [main_text(x.as_py()) for x in batch.column(2)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [id_col, url_col, "text", "n_chars"])
 
