@@ -75,12 +75,14 @@ def test_scores_as_brute_force(scored):
             assert np.allclose([round(e.cosine, 5) for e in r.evidence], near, atol=2e-5)
 
 
-def test_held_out_documents(scored):
-    docs, labels, out = scored
+def test_held_out_documents(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    out = X.toxicity(docs, labels).cache()
     assert out.count() == docs.count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out.limit(500).collect())
     n = {(r.toxic, r.predicted): r["count"] for r in out.filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
-    assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.9 * (n[1, 1] + n.get((0, 1), 0))
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.9 * (n[1, 1] + n.get((0, 1), 0))
     assert out.filter("size(evidence) = 0").join(docs.filter("length(text) > 50"), "doc_id").count() == 0  # every text has neighbours
     copies = docs.join(out.select("doc_id", "score"), "doc_id").groupBy("text").agg(F.countDistinct("score").alias("n")).filter("n > 1")
     assert copies.count() == 0  # a score is a function of the text

@@ -19,7 +19,7 @@ MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 2000, 4000, 1 << 17
 #: Examples that a term must be in to have a weight: what one text alone holds can be near to nothing.
 LEAST_EXAMPLES = 2
 #: Neighbours that vote, examples in a block, and blocks that a search opens at first.
-NEIGHBOURS, BLOCK, WAVE = 16, 64, 8
+NEIGHBOURS, BLOCK, WAVE = 16, 64, 4
 #: Votes of no label that are added, so that weak similarity says little.
 DOUBT = 0.1
 
@@ -118,45 +118,53 @@ class BlockMaxIndex:
         at = np.repeat(np.arange(len(order)), [len(vectors[k][0]) for k in order])
         by_term = np.argsort(term, kind="stable")  # and by example within a term
         term, self.at = term[by_term], at[by_term].astype(np.int32)
-        self.of = np.concatenate([vectors[k][1] for k in order] or [np.zeros(0)])[by_term]
+        self.of = np.concatenate([vectors[k][1] for k in order] or [np.zeros(0)])[by_term].astype(np.float32)
         block = self.at // BLOCK
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
-        self.start, self.length, self.block = first, np.diff(np.append(first, len(term))), block[first]
-        self.most = np.maximum.reduceat(self.of, first) if len(first) else np.zeros(0)
-        self.entries = np.searchsorted(term[first], np.arange(size + 1))  # a term's entries, a block each
+        self.start, self.length, self.block = first.astype(np.int32), np.diff(np.append(first, len(term))).astype(np.int32), block[first]
+        self.most = np.maximum.reduceat(self.of, first) if len(first) else np.zeros(0, np.float32)
+        # where a term's entries, a block each, and its postings begin
+        self.entries, self.postings = np.searchsorted(term[first], np.arange(size + 1)), np.searchsorted(term, np.arange(size + 1))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a term in common, nearest first; of equally near ones the first.
 
-        The WAVE blocks of the highest bounds are opened first, then all whose bound reaches the k-th cosine found, until
-        there is none: so it is exact.
+        The WAVE blocks of the highest bounds are opened first, then those whose bound reaches the k-th cosine found, so it
+        is exact; where these are most blocks, the terms' postings are read through instead.
         """
-        lengths = self.entries[terms + 1] - self.entries[terms]
-        entry, by = _ranges(self.entries[terms], lengths), np.repeat(weights, lengths)
+        first = self.entries[terms]
+        lengths = self.entries[terms + 1] - first
+        entry, by = _ranges(first, lengths), np.repeat(weights, lengths)
         block = self.block[entry]
         bound = np.bincount(block, by * self.most[entry], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        found, values, least, done, wave = np.zeros(0, np.int64), np.zeros(0), 1e-12, 0, WAVE
-        while wave:
-            opened = np.zeros(self.blocks, bool)
-            opened[order[done : done + wave]] = True
-            some = opened[block]
-            own, by_own = entry[some], by[some]
-            n = self.length[own]
-            posting = _ranges(self.start[own], n)
-            sums = np.bincount(self.at[posting], np.repeat(by_own, n) * self.of[posting], len(self.ids))
-            if skip >= 0:
-                sums[skip] = 0
-            near = np.flatnonzero(sums >= max(least - 1e-12, 1e-12))
-            found, values = np.concatenate([found, near]), np.concatenate([values, sums[near]])
-            best = np.lexsort((found, -np.round(values, 12)))[:k]
-            found, values = found[best], values[best]
-            if len(found) == k:
-                least = values[-1]
-            done += wave
-            wave = int((bound[order[done:]] >= max(least - 1e-12, 1e-12)).sum())
+        some = np.zeros(self.blocks, bool)
+        some[np.argsort(-bound, kind="stable")[:WAVE]] = True
+        found, values = self._nearest(*self._opened(entry, by, some[block]), k, skip)
+        rest = (bound >= max((values[-1] if len(values) == k else 0) - 1e-9, 1e-12)) & ~some
+        if 4 * rest.sum() > self.blocks:
+            first = self.postings[terms]
+            lengths = self.postings[terms + 1] - first
+            found, values = self._nearest(_ranges(first, lengths), np.repeat(weights, lengths), k, skip)
+        elif rest.any():
+            found, values = self._nearest(*self._opened(entry, by, (rest | some)[block]), k, skip)
         return list(zip(values.tolist(), found.tolist(), strict=True))
 
+    def _opened(self, entry: np.ndarray, by: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The postings of some of the entries, and the weight of each one's term."""
+        own = entry[some]
+        n = self.length[own]
+        return _ranges(self.start[own], n), np.repeat(by[some], n)
+
+    def _nearest(self, posting: np.ndarray, by: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples with the largest sums over these postings, and the sums."""
+        sums = np.bincount(self.at[posting], by * self.of[posting], len(self.ids))
+        if skip >= 0:
+            sums[skip] = 0
+        least = max(1e-12, np.partition(sums, len(sums) - k)[len(sums) - k] - 1e-11 if len(sums) > k else 0)
+        near = np.flatnonzero(sums >= least)
+        near = near[np.lexsort((near, -np.round(sums[near], 12)))[:k]]
+        return near, sums[near]
+
     def vote(self, found: Sequence[tuple[float, int]]) -> float:
         """The share of toxic votes, each weighed by its cosine and by how many documents the example stands for."""
         near = np.array([s for s, _ in found]) * self.weights[[i for _, i in found]]
