@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.sources.workers import checkpoints
+
 
 def replay(log: DataFrame, keys: Sequence[str], seq: str, op: str, deleted: str = "delete") -> DataFrame:
     """The rows that a log of changes leaves: the last change of each key, unless it deletes.
@@ -48,18 +50,19 @@ def conflicts(writes: DataFrame) -> DataFrame:
     return a.join(b, both).groupBy(F.col("a.tx").alias("tx"), F.col("a.row").alias("row")).agg(F.min_by("b.tx", "b.written_at").alias("first"))
 
 
-def deadlocked(waits: DataFrame, max_rounds: int = 64) -> DataFrame:
+def deadlocked(waits: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(tx): transactions on a circle of waiting, or that wait and are waited for by such; waits: waiter, holder.
 
     Those that wait for nobody, or that nobody waits for, are taken away again and again; what is left is circles,
-    and chains between circles.
+    and chains between circles. RuntimeError if that has not settled after max_rounds, as chains may be longer.
     """
+    checkpoints(waits.sparkSession)
     now = waits.select("waiter", "holder").filter("waiter <> holder").distinct()
     n = now.count()
     for _ in range(max_rounds):
         held, waiting = now.select(F.col("holder").alias("_t")).distinct(), now.select(F.col("waiter").alias("_t")).distinct()
         now = now.join(held, F.col("waiter") == F.col("_t"), "left_semi").join(waiting, F.col("holder") == F.col("_t"), "left_semi").checkpoint()
         if (m := now.count()) == n:
-            break
+            return now.select(F.col("waiter").alias("tx")).distinct()
         n = m
-    return now.select(F.col("waiter").alias("tx")).distinct()
+    raise RuntimeError(f"chains of waiting did not settle in {max_rounds} rounds")

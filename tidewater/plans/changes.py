@@ -172,7 +172,6 @@ def tx_conflict(spark, d):
 
 @query("select tx from (values (1), (2), (3)) t(tx)")
 def tx_deadlock(spark, d):
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidewater-checkpoints")
     return versions.deadlocked(spark.sql("select * from values (1, 2), (2, 3), (3, 1), (4, 1), (5, 6) as t(waiter, holder)"))
 
 

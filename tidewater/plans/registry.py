@@ -27,5 +27,5 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
-for _part in ("relational", "aggregates", "windows", "scalars", "documents_json", "vectors", "changes", "statistics", "scripts"):
+for _part in ("relational", "aggregates", "windows", "scalars", "documents_json", "vectors", "changes", "statistics", "scripts", "definitions"):
     import_module(f"tidewater.plans.{_part}")
