@@ -20,6 +20,8 @@ MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 2000, 4000, 1 << 17
 LEAST_EXAMPLES = 2
 #: Neighbours that vote, examples in a block, and blocks that a search opens at first.
 NEIGHBOURS, BLOCK, WAVE = 16, 64, 4
+#: A term in one of so many examples or more also has a row of weights over all examples: at most FREQUENT times the postings.
+FREQUENT = 8
 #: Votes of no label that are added, so that weak similarity says little.
 DOUBT = 0.1
 
@@ -125,12 +127,19 @@ class BlockMaxIndex:
         self.most = np.maximum.reduceat(self.of, first) if len(first) else np.zeros(0, np.float32)
         # where a term's entries, a block each, and its postings begin
         self.entries, self.postings = np.searchsorted(term[first], np.arange(size + 1)), np.searchsorted(term, np.arange(size + 1))
+        # the frequent terms' weights in every example, and each term's row there
+        often = np.flatnonzero(FREQUENT * np.diff(self.postings) >= max(len(order), 1))
+        self.row, self.dense = np.full(size, -1, np.int32), np.zeros((len(often), len(order)))
+        self.row[often] = np.arange(len(often))
+        for k, t in enumerate(often):
+            own = slice(self.postings[t], self.postings[t + 1])
+            self.dense[k, self.at[own]] = self.of[own]
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a term in common, nearest first; of equally near ones the first.
 
         The WAVE blocks of the highest bounds are opened first, then those whose bound reaches the k-th cosine found, so it
-        is exact; where these are most blocks, the terms' postings are read through instead.
+        is exact; where these are most blocks, all that the terms have is read through instead.
         """
         first = self.entries[terms]
         lengths = self.entries[terms + 1] - first
@@ -139,31 +148,44 @@ class BlockMaxIndex:
         bound = np.bincount(block, by * self.most[entry], self.blocks)
         some = np.zeros(self.blocks, bool)
         some[np.argsort(-bound, kind="stable")[:WAVE]] = True
-        found, values = self._nearest(*self._opened(entry, by, some[block]), k, skip)
-        rest = (bound >= max((values[-1] if len(values) == k else 0) - 1e-9, 1e-12)) & ~some
+        sums = self._opened(entry, by, some[block], skip)
+        least = max(self._least(sums[sums > 0], k) - 1e-9, 1e-12)
+        rest = (bound >= least) & ~some
         if 4 * rest.sum() > self.blocks:
-            first = self.postings[terms]
-            lengths = self.postings[terms + 1] - first
-            found, values = self._nearest(_ranges(first, lengths), np.repeat(weights, lengths), k, skip)
+            sums = self._read_through(terms, weights, skip)
         elif rest.any():
-            found, values = self._nearest(*self._opened(entry, by, (rest | some)[block]), k, skip)
-        return list(zip(values.tolist(), found.tolist(), strict=True))
+            sums = self._opened(entry, by, (rest | some)[block], skip)
+        near = np.flatnonzero(sums >= least)
+        near = near[sums[near] >= self._least(sums[near], k) - 1e-11]
+        near = near[np.lexsort((near, -np.round(sums[near], 12)))[:k]]
+        return list(zip(sums[near].tolist(), near.tolist(), strict=True))
 
-    def _opened(self, entry: np.ndarray, by: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The postings of some of the entries, and the weight of each one's term."""
+    def _least(self, sums: np.ndarray, k: int) -> float:
+        """The k-th largest sum; 0 where there are fewer than k."""
+        return np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) >= k else 0.0
+
+    def _opened(self, entry: np.ndarray, by: np.ndarray, some: np.ndarray, skip: int) -> np.ndarray:
+        """Each example's sum over some of the entries."""
         own = entry[some]
         n = self.length[own]
-        return _ranges(self.start[own], n), np.repeat(by[some], n)
+        return self._sums(_ranges(self.start[own], n), np.repeat(by[some], n), skip)
+
+    def _read_through(self, terms: np.ndarray, weights: np.ndarray, skip: int) -> np.ndarray:
+        """Each example's sum over all terms: frequent ones by their rows, others by their postings."""
+        row = self.row[terms]
+        often = row >= 0
+        first = self.postings[terms[~often]]
+        lengths = self.postings[terms[~often] + 1] - first
+        sums = weights[often] @ self.dense[row[often]] + self._sums(_ranges(first, lengths), np.repeat(weights[~often], lengths), skip)
+        if skip >= 0:
+            sums[skip] = 0
+        return sums
 
-    def _nearest(self, posting: np.ndarray, by: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest sums over these postings, and the sums."""
+    def _sums(self, posting: np.ndarray, by: np.ndarray, skip: int) -> np.ndarray:
         sums = np.bincount(self.at[posting], by * self.of[posting], len(self.ids))
         if skip >= 0:
             sums[skip] = 0
-        least = max(1e-12, np.partition(sums, len(sums) - k)[len(sums) - k] - 1e-11 if len(sums) > k else 0)
-        near = np.flatnonzero(sums >= least)
-        near = near[np.lexsort((near, -np.round(sums[near], 12)))[:k]]
-        return near, sums[near]
+        return sums
 
     def vote(self, found: Sequence[tuple[float, int]]) -> float:
         """The share of toxic votes, each weighed by its cosine and by how many documents the example stands for."""
