@@ -59,6 +59,14 @@ def test_close_pairs(spark, few):
     assert len(ours) == len(set(ours)) and set(ours) == theirs
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_looks_are_not_broadcast(spark, tmp_path, few):
+    spark.range(2000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/points")
+    pairs = S.close_pairs(spark.read.parquet(f"{tmp_path}/points"), few=few)
+    pairs.count()
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(1, k) for k in range(2, 60)] + [(200, 201), (201, 200), (300, 300), (None, 5)]
     df = spark.createDataFrame(edges, "u long, v long")

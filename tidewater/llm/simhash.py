@@ -80,7 +80,8 @@ def close_pairs(points: DataFrame, most: int = BITS, few: int = FEW) -> DataFram
 
     Two fingerprints differ in at least as many bits as their segment counts are apart in Manhattan distance. So
     each is placed in the cell of its counts and looks in the cells at most that far; half of these are enough, as
-    the other half look back. What meets is checked exactly, in the join's own condition.
+    the other half look back. What meets is checked exactly, in the join's own condition. Neither side is broadcast:
+    Spark takes the looks, 73 or 273 rows for each fingerprint, for no larger than the fingerprints.
     """
     segments = 8 if points.count() <= few else 16
     cell = segment_counts(F.col("fp"), segments)
@@ -88,7 +89,7 @@ def close_pairs(points: DataFrame, most: int = BITS, few: int = FEW) -> DataFram
     looks = points.select("fp", cell.alias("_own")).select(F.col("fp").alias("u"), "_own", F.explode(F.lit(steps(segments, most))).alias("_step"))
     looks = looks.select("u", (F.col("_step") == 0).alias("_here"), F.try_add("_own", "_step").alias("_cell"))
     near = (looks["_cell"] == home["_cell"]) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most) & (~F.col("_here") | (F.col("u") < F.col("v")))
-    return looks.join(home, near).select("u", "v")
+    return looks.hint("merge").join(home, near).select("u", "v")
 
 
 def fingerprint_classes(prints: DataFrame) -> DataFrame:
