@@ -65,6 +65,32 @@ def test_stage_drops_copies_beyond_two_bits(spark, copies):
     assert kept == {c for _, c in plain_components(copies)}
 
 
+def test_simhash_links_what_its_bits_reach(spark, copies, monkeypatch):
+    """Without the rounds of bands, the stage links similar texts by the grid join over fingerprints alone."""
+    monkeypatch.setattr(N, "rounds", lambda: iter(()))
+    rows = list({N.word_mark(t): (k, t) for k, t in copies if len(t.split()) >= 90}.values())
+    sets = {k: N.shingle_set(t) for k, t in rows}
+    marks, wide = {k: N.word_mark(t) for k, t in rows}, {k: N.majority(x) for k, x in sets.items()}
+
+    def apart(a, b):
+        return ((a ^ b) & (1 << 64) - 1).bit_count()
+
+    def linked(a, b):
+        both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+        return apart(marks[a], marks[b]) <= N.BITS and apart(wide[a], wide[b]) <= N.WIDE_BITS and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both)
+
+    ids = sorted(sets)
+    group = {k: k for k in ids}
+    for a in ids:
+        for b in ids:
+            if b < a and linked(a, b) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    ours = dict(found(N.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert len(set(group.values())) < len(ids) and all(ours[k] == ours[g] for k, g in group.items())
+    assert len(set(ours.values())) > len(set(dict(plain_components(rows)).values()))
+
+
 def test_large_bands(spark, monkeypatch):
     """With one leader and one hash for each band, bands are large and hold unlike texts; nothing is left out for that."""
     monkeypatch.setattr(N, "LEADERS", 1)

@@ -20,6 +20,14 @@ WORDS, SEED, BITS = 3, 42, 2
 FEW = 1 << 20
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, as a signed number: a bit is 1 if it is set in over half of the hashes; without any, zero."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 14):
+        counts += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes)).view(np.int64)[0])
+
+
 def fingerprint(text: str | None, n_words: int = WORDS, seed: int = SEED) -> int:
     r"""64 bits, as a signed number: a bit is 1 if it is set in over half of the shingles' XXH64.
 
@@ -31,11 +39,7 @@ def fingerprint(text: str | None, n_words: int = WORDS, seed: int = SEED) -> int
         return 0
     shingles = map(b" ".join, zip(*(words[k:] for k in range(n_words)), strict=False)) if len(words) >= n_words else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, seed) for x in shingles], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 14):
-        counts += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes)).view(np.int64)[0])
+    return majority(np.array([digest(x, seed) for x in shingles], np.uint64))
 
 
 def fingerprints(docs: DataFrame, n_words: int = WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
