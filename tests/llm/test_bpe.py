@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tidewater.llm import bpe
 from tidewater.llm.bpe import Coder, encode_decode, read_spec
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,3 +46,19 @@ def test_rows(odd, theirs):
         expected.append((r.doc_id, len(ids), ids, r.text or "", hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, expected))
     assert encode_decode(odd.limit(0), read_spec(PATH)).count() == 0
+
+
+def test_words_are_learnt_once_while_they_fit(monkeypatch):
+    """Many words stay known for the next texts; with little room for them the ids are the same."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(f"{k:06}".translate(letters) for k in range(at, at + 10_000)) for at in range(0, 60_000, 10_000)] + ["x" * 100 + " a<|endoftext|>b  c"]
+    coder, asked = Coder(read_spec(PATH)), []
+    monkeypatch.setattr(coder, "merge", lambda words, merge=coder.merge: (asked.extend(words), merge(words))[1])
+    first = [ids for x in texts for ids in coder.encode([x])]
+    assert len(asked) >= 60_000
+    asked.clear()
+    assert [ids for x in texts[:-1] for ids in coder.encode([x])] == first[:-1] and not asked
+    held = sum(bpe.ENTRY + len(x) + len(y) for known in (coder.words, coder.chunks, coder.after) for x, y in known.items())
+    assert coder.kept == held
+    monkeypatch.setattr(bpe, "KEPT", 1000)
+    assert [ids for x in texts for ids in coder.encode([x])] == first and coder.kept < held

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 from collections.abc import Iterable, Iterator, Sequence
 from functools import cached_property
 from itertools import chain
@@ -21,8 +22,8 @@ from tidewater.llm.common import python_ready, python_task, slices
 #: Unicode's White_Space characters, and the split pattern of this vocabulary with that class for \s.
 WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
-#: Words kept with their ids by each worker before it starts anew.
-CACHE = 50_000
+#: Bytes of words kept with their ids, some ENTRY of them for each beside its own, by each worker before it starts anew.
+KEPT, ENTRY = 72 << 20, 200
 #: Longer words are not kept; symbols merged at a time; characters of text coded at a time.
 LONG, BATCH, TEXTS = 64, 1 << 17, 1 << 19
 #: Words of a like length are merged one by one where each is over so many times longer than their number.
@@ -201,23 +202,24 @@ class Coder:
         self.pairs = Pairs([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         self.names = [str(i) for i in range(len(self.bytes))]
         self.pieces = regex.compile(SPLIT).findall
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.after: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}
+        self.kept = 0
         self.risky = re.compile(rf" [{WS}]").search
         self.segments = re.compile(rf"[{WS}]*[^{WS}]+|[{WS}]+").findall
         self.split_added = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
 
-    def merge(self, words: Sequence[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each piece, at most BATCH symbols at a time."""
-        found: list[tuple[int, ...]] = [()] * len(words)
+    def merge(self, words: Sequence[bytes]) -> list[bytes]:
+        """The ids of each piece, 4 bytes each, at most BATCH symbols at a time."""
+        found = [b""] * len(words)
         by_size: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by_size.setdefault(1 << max(len(w) - 2, 0).bit_length(), []).append(k)
         for size, all_of in by_size.items():
             if size >= ALONE * len(all_of):
                 for k in all_of:
-                    found[k] = PairTree(self.first[np.frombuffer(words[k], np.uint8)].tolist(), self.pairs).merge_all()
+                    found[k] = np.array(PairTree(self.first[np.frombuffer(words[k], np.uint8)].tolist(), self.pairs).merge_all(), np.int32).tobytes()
                 continue
             step = max(1, BATCH // size)
             for at in range(0, len(all_of), step):
@@ -227,12 +229,12 @@ class Coder:
                 ids[np.arange(size + 1) < lengths[:, None]] = self.first[np.frombuffer(b"".join(words[k] for k in some), np.uint8)]
                 ids = PairTrees(ids, lengths, self.pairs).merge_all()
                 left = ids >= 0
-                flat, ends = ids[left].tolist(), np.cumsum(left.sum(1)).tolist()
+                flat, ends = ids[left].astype(np.int32).tobytes(), (4 * np.cumsum(left.sum(1))).tolist()
                 for k, a, b in zip(some, [0, *ends], ends, strict=False):
-                    found[k] = tuple(flat[a:b])
+                    found[k] = flat[a:b]
         return found
 
-    def _learn(self, known: dict[str, tuple[int, ...]], texts: set[str], lead: str) -> None:
+    def _learn(self, known: dict[str, bytes], texts: set[str], lead: str) -> None:
         """Adds to known the ids of these texts, each with lead before it."""
         whole, cut = [], []
         for x in texts:
@@ -247,12 +249,15 @@ class Coder:
         self.words.update(zip(new, self.merge([x.encode() for x in new]), strict=True))
         word = self.words.__getitem__
         for x, pieces in cut:
-            known[x] = tuple(chain.from_iterable(map(word, pieces)))
+            known[x] = b"".join(map(word, pieces))
+        for learnt, by in ((texts, known), (new, self.words)):
+            self.kept += ENTRY * len(learnt) + sum(map(len, learnt)) + sum(map(len, map(by.__getitem__, learnt)))
 
     def encode(self, texts: Sequence[str]) -> Iterator[list[int]]:
         """The ids of each text. Pieces that these texts bring are merged together."""
-        for known in (self.words, self.chunks, self.after):
-            if len(known) > CACHE:
+        if self.kept > KEPT:
+            self.kept = 0
+            for known in (self.words, self.chunks, self.after):
                 known.clear()
         plans, chunks, after = [], set(), set()
         for text in texts:
@@ -273,16 +278,16 @@ class Coder:
         self._learn(self.after, after.difference(self.after), " ")
         of_chunk, of_after = self.chunks.__getitem__, self.after.__getitem__
         for plan in plans:
-            ids: list[int] = []
+            found: list[bytes] = []
             for (segments, rest), special in plan:
-                ids.extend(chain.from_iterable(map(of_chunk, segments)))
-                ids.extend(chain.from_iterable(map(of_after, rest)))
+                found.extend(map(of_chunk, segments))
+                found.extend(map(of_after, rest))
                 if special is not None:
-                    ids.append(special)
-            yield ids
+                    found.append(special.to_bytes(4, sys.byteorder))
+            yield np.frombuffer(b"".join(found), np.int32).tolist()
         for known, used in ((self.chunks, chunks), (self.after, after), (self.words, self.words)):
             for x in [x for x in used if len(x) > LONG]:
-                del known[x]
+                self.kept -= ENTRY + len(x) + len(known.pop(x))
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
