@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +134,28 @@ def test_replayed_index_keeps_ids_that_new_rows_have_too(spark, tmp_path):
     with duckdb.connect() as duck:
         duck.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
         assert sorted(map(tuple, ours)) == sorted(duck.sql(registry.ORACLE_SQL["hnsw_incr"]).fetchall())
+
+
+def test_keys_are_the_sides_of_the_planes(spark):
+    rows = [(1, [0.5, -1.0, 2.0]), (2, [0.0, 0.0, 0.0]), (3, [1.0]), (4, None), (5, [1.0, None, 1.0]), (6, [-0.5, 1.0, -2.0])]
+    df = spark.createDataFrame(rows, "id int, v array<float>").repartition(2)
+    rng = random.Random(7)
+    planes = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(4)]
+    dots = [F.aggregate(F.zip_with("v", vector.literal(p), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x) for p in planes]
+    bits = [F.when(F.size("v") == 3, d > 0).otherwise(False).cast("long") for d in dots]
+    expected = F.when(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()), F.array(bits[0] + bits[1] * 2, bits[2] + bits[3] * 2 + 4))
+    both = df.select("id", vector.hyperplane_keys(F.col("v"), 3, tables=2, bits=2).alias("keys"), expected.alias("expected")).collect()
+    assert len(both) == 6 and all(r["keys"] == r["expected"] for r in both)
+    assert {r["id"] for r in both if r["keys"] is None} == {4, 5}
+
+
+def test_approximate_search_shuffles_no_vectors(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    index = vector.hyperplane_index(e, "vec_id", "embedding", 64, tables=24, bits=3)
+    query = list(e.filter("vec_id = 7").first()["embedding"])
+    near = vector.approximate_knn(index, query, 20, tables=24, bits=3)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(vector" not in plan and plan.count("zip_with(") == 1  # no vectors are merged, and no plane is an expression
+    read = {r["rowid"] for r in index.filter(F.col("key").isin(vector._keys(np.array([query], "f4"), 24, 3, 7)[0].tolist())).select("rowid").collect()}
+    exact = vector.knn(e.filter(F.col("vec_id").isin(list(read))), "vec_id", "embedding", query, 20).collect()
+    assert near.collect() == exact and exact[0]["rowid"] == 7
